@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,9 @@ def public_paths() -> tuple[str, str, str]:
     return p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
+@lru_cache(maxsize=1)
 def encoder(full: str, ranks: str, pattern: str):
-    """text -> uint32 ids, those of the tokenizers file `full`.
+    """text -> uint32 ids, those of the tokenizers file `full`; one per worker process.
 
     The ranks file holds the same merges and ids and is encoded 3.5 times faster; texts that hold
     the string of a special token go through the tokenizers library itself.
@@ -54,11 +56,11 @@ def encoder(full: str, ranks: str, pattern: str):
     quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
     with open(full, encoding="utf-8") as f:
         special = [t["content"] for t in json.load(f).get("added_tokens", [])]
-    whole = Tokenizer.from_file(full)
+    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(full))
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.frombuffer(quick._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32)
 
     return encode
