@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -123,11 +125,12 @@ SEPARATORS = (0x20, *range(0x09, 0x0E))
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) | _U(1)
 _VALUES[65:91] = _VALUES[97:123]
 _VALUES[list(SEPARATORS)] = 0
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[list(SEPARATORS)] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _COMBINE = (_rng.integers(1, 1 << 63, 16, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
+#: The same with every ASCII byte but a-z, A-Z and 0-9 as a separator.
+ALPHANUMERIC = _VALUES.copy()
+ALPHANUMERIC[[b for b in range(128) if not chr(b).isalnum()]] = 0
 _powers: list[np.ndarray] = []
 
 
@@ -182,15 +185,15 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = _VALUES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte) of each word of a run of texts, and the first word of each text (one more at the end).
 
-    Words are runs of bytes other than space and \\x09-\\x0D, with A-Z as a-z.
+    Words are runs of bytes that have a value: others than space and \\x09-\\x0D, with A-Z as a-z.
     """
     n = len(data)
     if n == 0:
         return np.empty(0, _U), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = _IS_WORD[data]
+    word = (values != 0)[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = offsets[(offsets > 0) & (offsets < n)]
@@ -201,7 +204,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return np.empty(0, _U), starts, bounds
     up, down = _powered(n)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_VALUES[data] * up[:n], starts)
+        sums = np.add.reduceat(values[data] * up[:n], starts)
         hashes = mix(sums * down[starts])
     return hashes, starts, bounds
 
@@ -229,6 +232,21 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     return mix(out), to
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, once a context: they need not start where it lies."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_package.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(packed))
+    context._tessera_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -7,8 +7,8 @@ class and only classes are joined. The rest is exact in every step:
    order. The order puts frequent elements last (a sketch of bounded size counts all elements of all
    texts), then goes by hash, so a passage in thousands of documents anchors only those that hold little else.
 2. Tiles. Classes that share an anchor meet in its tile, and there only within size bands: bands are a
-   factor 1/t wide, so partners lie in one's own band or the next. Each task reduces what it holds of a
-   tile to one leader before the shuffle.
+   factor 1/t wide, so partners lie in one's own band or the next. Each task reduces what it holds of an
+   anchor to one leader before the shuffle.
 3. Stars. In a tile each class is first compared with the leader alone. The links that hold give
    components; tiles within one component are done, so a group of copies costs as many comparisons as it
    has members, not pairs.
@@ -21,8 +21,7 @@ sorted-array intersection.
 
 Defined results: null and empty texts, and texts of separators only, have an empty set and are linked with
 nothing (component: the own id); texts of fewer than k words have their whole sequence as one shingle;
-repeated rows are linked with each other; null ids take part in links, and a component of null ids only is
-null; other columns don't matter; an empty table gives no rows. Hash collisions between distinct sets or
+repeated rows are linked with each other; rows with a null id have an empty set's result, with their own n_shingles; other columns don't matter; an empty table gives no rows. Hash collisions between distinct sets or
 shingles are the only source of error (about n^2 / 2^65 for n distinct ones).
 """
 
@@ -45,6 +44,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return _texts(docs).where("doc_id is not null")
+
+
 def sets_of(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text."""
     for at, _, data, offsets in text_chunks(texts):
@@ -62,8 +65,11 @@ def identity(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """MAP_BITS parities as int64 words."""
-    bits = np.bincount((s >> _U(40)).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+    """Parities as int64 words: MAP_BITS of them, doubled until there is a bit for each element."""
+    size = MAP_BITS
+    while size < len(s):
+        size *= 2
+    bits = np.bincount((s >> _U(20)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -79,9 +85,9 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
                 nodes.append(identity(s) if len(s) else None)
                 sizes.append(len(s))
                 bits.append(bitmap(s))
-                np.add.at(counts, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1) if len(s) < 5000 else counts.__iadd__(np.bincount((s >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS))
-            n, words = len(nodes), MAP_BITS // 64
-            held = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64)))
+                counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)] += 1
+            n, ends = len(nodes), np.cumsum([0, *map(len, bits)])
+            held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = np.minimum(counts, (1 << 32) - 1).astype("<u4").reshape(SLICES, -1)
         none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
@@ -114,39 +120,74 @@ def frequency_classes(measures: DataFrame) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1.0))) - 1, 0, 63).astype(np.uint8)
 
 
-def anchors(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Rows (key, node, n, lead): anchors of every class of documents.
+RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4")])
+
 
-    Each task groups the anchors that it holds by key: the smallest (size, node) of a key is its leader; other
-    members are rows with the leader's node in `lead`, and only leaders have lead = node.
+def tiles(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """(key, node, n, top): the classes that share an anchor, with one of the smallest for each to be compared with.
+
+    A task sends each tile its records of one leader per key, in one packed row, and its other members, which
+    have that leader as top. The tile names the smallest leader of a key the top of the others; a key with one
+    member in all is dropped. What a tile must hold at once is one record per key and task.
     """
+    count = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, sizes, seen = [], [], [], set()
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = [], set()
         for b in batches:
             for _, s in sets_of(b.column(1), k):
                 n = len(s)
                 if not n or (own := identity(s)) in seen:
                     continue
                 seen.add(own)
-                order = np.argsort(classes[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 take = n - (percent * n + 99) // 100 + 1
-                keys.append(s[order[:take]])
-                nodes.append(np.full(take, own, np.int64))
-                sizes.append(np.full(take, n, np.int64))
-        if not keys:
+                order = np.argsort(classes[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:take]
+                record = np.empty(take, RECORD)
+                record["key"], record["node"], record["n"] = s[order], own, n
+                held.append(record)
+        if not held:
             return
-        key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-        del keys, nodes, sizes
-        order = np.lexsort((node, size, key))
-        key, node, size = key[order], node[order], size[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        lead = np.repeat(node[first], np.diff(np.append(first, len(key))))
-        for at in range(0, len(key), 1 << 16):
-            cut = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(key[cut].astype(np.int64)), pa.array(node[cut]), pa.array(size[cut]), pa.array(lead[cut])], ["key", "node", "n", "lead"])
+        records = np.concatenate(held)
+        del held
+        records = records[np.lexsort((records["node"], records["n"], records["key"], records["key"] % _U(count)))]
+        lead = np.append(True, records["key"][1:] != records["key"][:-1])
+        first = np.flatnonzero(lead)
+        top = records["node"][np.repeat(first, np.diff(np.append(first, len(records))))]
+        edges = np.searchsorted(records["key"] % _U(count), np.arange(count + 1, dtype=np.uint64))
+        alone = np.append(np.diff(first) == 1, len(records) - first[-1] == 1)
+        rank = np.cumsum(lead) - 1
+        for tile in np.flatnonzero(np.diff(edges)):
+            cut = slice(edges[tile], edges[tile + 1])
+            leads, own = lead[cut], records[cut]
+            columns = [np.array([tile], np.int64)], [own[leads].tobytes()], [alone[rank[cut][leads]].tobytes()], [own[~leads].tobytes()], [top[cut][~leads].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0][0]), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["tile", "leads", "alone", "members", "tops"])
+
+    def table_of(records: np.ndarray, top: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(records["key"].astype(np.int64)), pa.array(records["node"]), pa.array(records["n"].astype(np.int64)), pa.array(top)], ["key", "node", "n", "top"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads, alone = [], []
+        for b in batches:
+            for x in zip(*b.columns[1:], strict=True):
+                leads.append(np.frombuffer(x[0].as_py(), RECORD))
+                alone.append(np.frombuffer(x[1].as_py(), bool))
+                if len(members := np.frombuffer(x[2].as_py(), RECORD)):
+                    yield table_of(members, np.frombuffer(x[3].as_py(), np.int64))
+        if not leads:
+            return
+        records, single = np.concatenate(leads), np.concatenate(alone)
+        order = np.lexsort((records["node"], records["n"], records["key"]))
+        records, single = records[order], single[order]
+        first = np.flatnonzero(np.append(True, records["key"][1:] != records["key"][:-1]))
+        sizes = np.diff(np.append(first, len(records)))
+        kept = np.repeat((sizes > 1) | ~single[first], sizes)
+        top = np.repeat(records["node"][first], sizes)[kept]
+        records = records[kept]
+        for at in range(0, len(records), 1 << 16):
+            yield table_of(records[at : at + (1 << 16)], top[at : at + (1 << 16)])
 
-    return map_arrow(_texts(docs), run, "key long, node long, n long, lead long")
+    sent = map_arrow(_named(docs), send, "tile long, leads binary, alone binary, members binary, tops binary")
+    return map_arrow(sent.repartition(count, "tile"), meet, "key long, node long, n long, top long")
 
 
 def band_of(n: Column, percent: int) -> Column:
@@ -155,21 +196,62 @@ def band_of(n: Column, percent: int) -> Column:
 
 def _linkable(percent: int) -> Column:
     """Whether sizes and bitmaps of a and b let them reach the similarity, in whole numbers."""
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    def folded(x: str, y: str) -> Column:
+        """The bitmap of x, folded to half its length (parities add up) where that of y is shorter."""
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    differ = F.aggregate(F.zip_with(folded("a_bits", "b_bits"), folded("b_bits", "a_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     # |A & B| <= (|A| + |B| - differ) / 2 =: most, and 100 most >= percent (|A| + |B| - most)
     return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & ((F.col("a_n") + F.col("b_n") - differ) * (100 + percent) >= 2 * percent * (F.col("a_n") + F.col("b_n")))
 
 
+FILTER_BITS = 23
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit array of fixed size (1 MB) in which the bits of all ids are set; others' bits may be as well."""
+
+    def places(v: np.ndarray) -> np.ndarray:
+        return (mix(v.astype(np.int64).view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            bits[places(b.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                total |= np.frombuffer(x.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
+
+    parts = map_arrow(map_arrow(ids.repartition(8), part, "bits binary").coalesce(1), joined, "bits binary")
+    total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in parts.collect():
+        total |= np.frombuffer(row["bits"], np.uint8)
+    return total
+
+
 def shingle_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, doc_id): sorted hashes as bytes."""
+    """(node, shingles) of the wanted nodes (node, doc_id): sorted hashes as bytes.
+
+    Texts are not shuffled: each task passes over its documents and takes up those whose id the filter lets through.
+    """
+    known = id_filter(wanted.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(identity(s), s.tobytes()) for _, s in sets_of(b.column(0), k) if len(s)]
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            place = (mix(ids.astype(np.int64).view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+            some = b.filter(pa.array((known[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
+            found = [(identity(s), s.tobytes()) for _, s in sets_of(some.column(1), k) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "shingles"])
 
-    texts = _texts(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    return map_arrow(texts, run, "node long, shingles binary").dropDuplicates(["node"])
+    found = map_arrow(_named(docs), run, "node long, shingles binary")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -197,16 +279,10 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     measures = materialise(measured(docs, k))
     rows = measures.where("kind = 0").select("doc_id", "node", "n", "bits")
-    # the id whose text is read again for a class; null ids are read by no join, so a class of them only has no links but its own
-    classes = materialise(rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
-    held = anchors(docs, k, percent, frequency_classes(measures))
+    # doc_id: whose text is read again for a class
+    classes = materialise(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
     band = band_of(F.col("n"), percent)
-    # per key one row from each task and its other members
-    tiles = materialise(held.withColumn("band", band).withColumn("shared", F.col("lead") != F.col("node")).where("shared").select("key", "node", "n", "band", "lead").unionByName(
-        held.where("lead = node").withColumn("band", band).select("key", "node", "n", "band", "lead")))
-    leads = tiles.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("top"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "top")
-    tiled = materialise(tiles.join(leads, "key").select("key", "node", "n", "band", "top"))
-    release(tiles)
+    tiled = materialise(tiles(docs, k, percent, frequency_classes(measures)).withColumn("band", band))
 
     def bounded(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
@@ -234,7 +310,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     release(rest)
     late = materialise(verified(more, materialise(arrays_of(more)), percent))
     whole = components(links.union(late))
-    named = rows.join(whole, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("label"))
+    named = rows.join(whole, "node", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("label"))
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
