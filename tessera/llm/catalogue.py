@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, jaccard, media, packing, toxicity, urls
+from tessera.llm import chat, decontaminate, jaccard, linededup, media, packing, toxicity, urls
 from tessera.llm.common import table
 
 QUERIES = {
@@ -14,6 +14,8 @@ QUERIES = {
     "op5_snapshot_collapse": chat.op5_snapshot_collapse,
     "op6_positive_unlabelled": toxicity.op6_positive_unlabelled,
     "op7_avi_motion_jpeg": lambda spark, sf_dir: media.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")),
+    "op8_line_dedup": linededup.op8_line_dedup,
+    "op9_latent_retrieval": decontaminate.op9_latent_retrieval,
 }
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard_join": jaccard.OP3_SQL,
