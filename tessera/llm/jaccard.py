@@ -64,9 +64,8 @@ def identity(s: np.ndarray) -> int:
         return int(mix(mix(both)[:1] * _U(3) + mix(both[1:] + _U(1)))[0].astype(np.int64))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities as int64 words: MAP_BITS of them, doubled until there is a bit for each element."""
-    size = MAP_BITS
+def bitmap(s: np.ndarray, size: int = MAP_BITS) -> np.ndarray:
+    """Parities as int64 words: `size` of them, doubled until there is a bit for each element."""
     while size < len(s):
         size *= 2
     bits = np.bincount((s >> _U(20)).astype(np.int64) & (size - 1), minlength=size) & 1
@@ -75,25 +74,29 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 def measured(docs: DataFrame, k: int) -> DataFrame:
     """Rows of kind 0: doc_id, set identity, size and bitmap of each document; of kind 1: slices of each task's sketch."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("small", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            nodes, sizes, bits = [], [], []
+            nodes, sizes, bits, small = [], [], [], []
             for _, s in sets_of(b.column(1), k):
                 nodes.append(identity(s) if len(s) else None)
                 sizes.append(len(s))
                 bits.append(bitmap(s))
+                small.append(bits[-1].reshape(-1, MAP_BITS // 64) if len(s) > MAP_BITS else bits[-1][None])
                 counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)] += 1
             n, ends = len(nodes), np.cumsum([0, *map(len, bits)])
             held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            # a long bitmap is cut to MAP_BITS by xor of its parts
+            short = [np.bitwise_xor.reduce(x, axis=0) for x in small]
+            cut = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (MAP_BITS // 64)), pa.array(np.concatenate(short) if short else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), cut, held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = np.minimum(counts, (1 << 32) - 1).astype("<u4").reshape(SLICES, -1)
-        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES, np.int32)), *none, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
-    return map_arrow(_texts(docs), run, "kind int, doc_id long, node long, n long, bits array<long>, slice int, counts binary")
+    return map_arrow(_texts(docs), run, "kind int, doc_id long, node long, n long, small array<long>, bits array<long>, slice int, counts binary")
 
 
 def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +108,8 @@ def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def frequency_classes(measures: DataFrame) -> np.ndarray:
-    """A class 0..63 for each counter of the sketch: the binary logarithm of its count over the mean, 0 up to four times the mean.
+    """A class 0..63 for each counter of the sketch: the binary logarithm of what exceeds the mean, in units of four
+    deviations; 0 below one unit.
 
     Its size is fixed (1 MB). Slices of all tasks are added in two steps, so no task reads those of all.
     """
@@ -117,7 +121,9 @@ def frequency_classes(measures: DataFrame) -> np.ndarray:
     for r in rows:
         counts[r["slice"]] = np.frombuffer(r["counts"], "<u8")
     counts = counts.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1.0))) - 1, 0, 63).astype(np.uint8)
+    # elements that occur once spread evenly: what exceeds the mean by several deviations is frequent
+    unit = 4 * np.sqrt(max(counts.mean(), 1.0))
+    return np.clip(np.floor(np.log2(np.maximum((counts - counts.mean()) / unit, 0.5))) + 1, 0, 63).astype(np.uint8)
 
 
 RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4")])
@@ -194,16 +200,22 @@ def band_of(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / float(np.log(100 / percent)))
 
 
+def _allowed(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
+    """Whether sizes n, m and bitmaps of equal length let two sets reach the similarity, in whole numbers."""
+    differ = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    # |A & B| <= (|A| + |B| - differ) / 2 =: most, and 100 most >= percent (|A| + |B| - most)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((n + m - differ) * (100 + percent) >= 2 * percent * (n + m))
+
+
 def _linkable(percent: int) -> Column:
-    """Whether sizes and bitmaps of a and b let them reach the similarity, in whole numbers."""
-    def folded(x: str, y: str) -> Column:
+    """_allowed by the long bitmaps of a and b."""
+
+    def cut(x: str, y: str) -> Column:
         """The bitmap of x, folded to half its length (parities add up) where that of y is shorter."""
         half = (F.size(x) / 2).cast("int")
         return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
 
-    differ = F.aggregate(F.zip_with(folded("a_bits", "b_bits"), folded("b_bits", "a_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    # |A & B| <= (|A| + |B| - differ) / 2 =: most, and 100 most >= percent (|A| + |B| - most)
-    return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & ((F.col("a_n") + F.col("b_n") - differ) * (100 + percent) >= 2 * percent * (F.col("a_n") + F.col("b_n")))
+    return _allowed(F.col("a_n"), F.col("b_n"), cut("a_bits", "b_bits"), cut("b_bits", "a_bits"), percent)
 
 
 FILTER_BITS = 23
@@ -278,9 +290,9 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id reachable over links of 100 * intersection >= percent * union.
     """
     measures = materialise(measured(docs, k))
-    rows = measures.where("kind = 0").select("doc_id", "node", "n", "bits")
+    rows = measures.where("kind = 0").select("doc_id", "node", "n", "small", "bits")
     # doc_id: whose text is read again for a class
-    classes = materialise(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
+    classes = materialise(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("small").alias("small"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
     band = band_of(F.col("n"), percent)
     tiled = materialise(tiles(docs, k, percent, frequency_classes(measures)).withColumn("band", band))
 
@@ -293,19 +305,23 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         return shingle_arrays(docs, nodes.join(classes, "node").select("node", "doc_id"), k)
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = materialise(bounded(tiled.where("node <> top").select(*ordered("node", "top")).distinct()))
+    # of the leaders of its tiles each class is compared with the one that it meets most often
+    met = tiled.where("node <> top").groupBy("node", "top").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("node").agg(F.max_by("top", F.struct("times", "top")).alias("top"))
+    stars = materialise(bounded(best.select(*ordered("node", "top")).distinct()))
     links = materialise(verified(stars, materialise(arrays_of(stars)), percent))
     near = components(links)
 
     labelled = tiled.join(near, "node", "left").select("key", "node", "n", "band", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("key")
-    rest = materialise(labelled.join(mixed, "key"))
+    rest = materialise(labelled.join(mixed, "key").join(classes.select("node", "small"), "node"))
     release(tiled)
-    other = rest.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "band", "component")])
-    paired = rest.join(other, "key").where(
-        (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & (F.abs(F.col("band") - F.col("band_2")) <= 1)
-        & (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent)
+    other = rest.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "band", "component", "small")])
+    meets = (
+        (rest["key"] == other["key"]) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & (F.abs(F.col("band") - F.col("band_2")) <= 1)
+        & _allowed(F.col("n"), F.col("n_2"), F.col("small"), F.col("small_2"), percent)
     )
+    paired = rest.join(other, meets)
     more = materialise(bounded(paired.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()).join(stars, ["a", "b"], "left_anti"))
     release(rest)
     late = materialise(verified(more, materialise(arrays_of(more)), percent))
