@@ -1 +1 @@
-
+"""Column functions: identifier tokenisers, string helpers."""

@@ -1 +1 @@
-
+"""Operators on graphs of named entities."""

@@ -1 +1 @@
-
+"""Iterative plans and the query catalogue."""

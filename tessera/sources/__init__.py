@@ -1 +1 @@
-
+"""Readers and writers of projects, fact tables, clusterings and graphs."""
