@@ -30,16 +30,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ALPHANUMERIC, map_arrow, table, text_chunks, word_hashes
 
-TERM_BITS, RANK, STEP, POWER = 15, 64, 16, 2
+TERM_BITS, RANK, STEP, POWER, SLICES = 18, 128, 16, 2, 16
 PASSAGE = 2 * STEP
-COSINE, SURE, LIKELY, ANSWER, MIN_ITEM_WORDS, MAX_ITEM_WORDS = 0.4, 0.75, 0.5, 6, 6, 50_000_000
+COSINE, SURE, LIKELY, ANSWER, MIN_ITEM_WORDS, MAX_ITEM_WORDS = 0.45, 0.75, 0.5, 6, 8, 50_000_000
 _U = np.uint64
 
 
 @dataclass
 class Index:
-    projection: np.ndarray  # of terms, weighted by idf: (terms, rank) float32
-    vectors: np.ndarray  # of benchmark passages, of unit length
+    places: np.ndarray  # of hashed terms: row of the projection, -1 for those of no item
+    projection: np.ndarray  # of the items' terms, weighted by idf, and a last row of zeros: float32
+    squares: np.ndarray  # of terms: idf squared
+    vectors: np.ndarray  # of benchmark passages, scaled so that a passage's product with itself is its length
     items: np.ndarray  # of those passages: place of the item
     ids: list  # of items
     words: list[np.ndarray]  # of items: word hashes
@@ -50,8 +52,16 @@ def _terms(words: np.ndarray) -> np.ndarray:
     return (words >> _U(64 - TERM_BITS)).astype(np.int64)
 
 
+def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((1 << TERM_BITS) // SLICES + 1, np.int64)
+    for b in batches:
+        for c in b.column(b.schema.get_field_index("counts")):
+            total += np.frombuffer(c.as_py(), "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents with each hashed term, documents), over all texts."""
+    """(documents with each hashed term, documents), over all texts; vectors of fixed size (2 MB) are added up in two steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << TERM_BITS, np.int64), 0
@@ -59,20 +69,19 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for at, to, data, offsets in text_chunks(b.column(0)):
                 words, _, bounds = word_hashes(data, offsets, ALPHANUMERIC)
                 n += to - at
-                held = np.zeros((to - at, 1 << TERM_BITS), bool)
-                held[np.repeat(np.arange(to - at), np.diff(bounds)), _terms(words)] = True
-                total += held.sum(0)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["term", "n"])
-
-    rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out, n = np.zeros(1 << TERM_BITS, np.int64), 0
-    for t, c in zip(rows["term"].to_pylist(), rows["n"].to_pylist(), strict=True):
-        if t < 0:
-            n = c
-        else:
-            out[t] = c
-    return out, n
+                held = np.sort(np.repeat(np.arange(to - at), np.diff(bounds)) << TERM_BITS | _terms(words))
+                first = np.append(True, held[1:] != held[:-1]) if len(held) else np.zeros(0, bool)
+                total += np.bincount(held[first] & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
+        parts = [np.append(p, n if k == 0 else 0).astype("<i8").tobytes() for k, p in enumerate(total.reshape(SLICES, -1))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], ["slice", "counts"])
+
+    slices = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "slice int, counts binary").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
+    first = slices.groupBy("slice", "salt").applyInArrow(_added, "slice int, counts binary")
+    out, n = np.zeros((SLICES, (1 << TERM_BITS) // SLICES), np.int64), 0
+    for r in first.groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect():
+        counts = np.frombuffer(r["counts"], "<i8")
+        out[r["slice"]], n = counts[:-1], n + int(counts[-1])
+    return out.ravel(), n
 
 
 def _passages(n: int) -> list[tuple[int, int]]:
@@ -82,14 +91,15 @@ def _passages(n: int) -> list[tuple[int, int]]:
     return [(a, a + PASSAGE) for a in range(0, n - PASSAGE, STEP)] + [(n - PASSAGE, n)]
 
 
-def range_finder(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
-    """Orthonormal (terms, rank): the leading right singular vectors of the items' TF-IDF passages, by randomised power steps."""
-    used = np.zeros(1 << TERM_BITS, bool)
-    q = np.random.default_rng(seed).standard_normal((1 << TERM_BITS, rank)).astype(np.float32)
+def range_finder(items: DataFrame, places: np.ndarray, idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+    """Orthonormal (item terms, rank): the leading right singular vectors of the items' TF-IDF passages, by randomised power steps."""
+    size = int(places.max(initial=-1)) + 1
+    rank = max(1, min(rank, size))
+    q = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
     for _ in range(POWER + 1):
 
         def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((1 << TERM_BITS, rank), np.float32)
+            total = np.zeros((size, rank), np.float32)
             for b in batches:
                 for _, _, data, offsets in text_chunks(b.column(0)):
                     words, _, bounds = word_hashes(data, offsets, ALPHANUMERIC)
@@ -99,21 +109,18 @@ def range_finder(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 7) ->
                             t, tf = np.unique(terms[a + x : a + y], return_counts=True)
                             row = tf * idf[t]
                             row = row / (np.linalg.norm(row) or 1)
-                            total[t] += np.outer(row, row @ q[t]).astype(np.float32)
+                            at = places[t]
+                            row, at = row[at >= 0], at[at >= 0]
+                            total[at] += np.outer(row, row @ q[at]).astype(np.float32)
             some = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), rank).cast(pa.list_(pa.float32()))], ["term", "row"])
 
         sums = map_arrow(items.select("text"), run, "term long, row array<float>").toArrow()
-        total = np.zeros((1 << TERM_BITS, rank))
+        total = np.zeros((size, rank))
         if len(sums):
             np.add.at(total, sums["term"].to_numpy(), np.stack(sums["row"].to_numpy(zero_copy_only=False)))
-        used = total.any(1)
-        some = np.flatnonzero(used)
-        if len(some) == 0:
-            return np.zeros((1 << TERM_BITS, rank), np.float32)
-        factor, _ = np.linalg.qr(total[some])
-        q = np.zeros((1 << TERM_BITS, rank), np.float32)
-        q[some, : factor.shape[1]] = factor
+        factor, _ = np.linalg.qr(total)
+        q = factor.astype(np.float32)
     return q
 
 
@@ -126,24 +133,34 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         raise ValueError(f"the benchmark has {size} words; the broadcast index holds {MAX_ITEM_WORDS}")
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32)
-    projection = range_finder(items, idf, rank) * idf[:, None]
-    vectors, owners, ids, held, answers = [], [], [], [], []
+    squares = idf**2
+    rows = []
     for row in items.orderBy("item_id", "text").toLocalIterator():
-        raw = row["text"].encode()
-        words = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALPHANUMERIC)[0]
-        if len(words) < MIN_ITEM_WORDS:
-            continue
-        own = (row["answer"] or "").encode()
-        stated = word_hashes(np.frombuffer(own, np.uint8), np.array([0, len(own)]), ALPHANUMERIC)[0]
+        hashed = []
+        for text in (row["text"], row["answer"] or ""):
+            raw = text.encode()
+            hashed.append(word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALPHANUMERIC)[0])
+        if len(hashed[0]) >= MIN_ITEM_WORDS:
+            rows.append((row["item_id"], *hashed))
+    places = np.full(1 << TERM_BITS, -1, np.int32)
+    known = np.unique(_terms(np.concatenate([np.empty(0, _U), *[r[1] for r in rows]])))
+    places[known] = np.arange(len(known))
+    factor = range_finder(items, places, idf, rank)
+    projection = np.vstack([factor * idf[known][:, None], np.zeros((1, factor.shape[1]))]).astype(np.float32)
+    vectors, owners, ids, held, answers = [], [], [], [], []
+    for item, words, stated in rows:
         for x, y in _passages(len(words)):
-            vectors.append(projection[_terms(words[x:y])].sum(0))
-            owners.append(len(ids))
-        ids.append(row["item_id"])
+            own_terms = _terms(words[x:y])
+            v = projection[places[own_terms]].sum(0)
+            # the latent space keeps a part of the vector; dividing by that part makes products estimates of cosines
+            if (kept := float(v @ v)) > 1e-9:
+                vectors.append(v * np.sqrt(squares[own_terms].sum()) / kept)
+                owners.append(len(ids))
+        ids.append(item)
         held.append(words)
         answers.append(np.unique(stated if len(stated) else words[-ANSWER:]))
-    vectors = np.array(vectors, np.float32).reshape(-1, rank)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return Index(projection.astype(np.float32), vectors, np.array(owners, np.int64), ids, held, answers)
+    vectors = np.array(vectors, np.float32).reshape(-1, projection.shape[1])
+    return Index(places, projection, squares, vectors, np.array(owners, np.int64), ids, held, answers)
 
 
 def common_subsequence(x: np.ndarray, y: np.ndarray) -> int:
@@ -160,10 +177,6 @@ def common_subsequence(x: np.ndarray, y: np.ndarray) -> int:
     return len(x) - row.bit_count()
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
-
-
 def matches(words: np.ndarray, bounds: np.ndarray, index: Index, cosine: float) -> Iterator[tuple[int, int, float, float, float]]:
     """(text, item, cosine, share of the item in the subsequence, share of the answer) of a run of texts, candidates before checks."""
     counts = np.diff(bounds)
@@ -175,15 +188,30 @@ def matches(words: np.ndarray, bounds: np.ndarray, index: Index, cosine: float)
     owner = np.repeat(np.arange(len(counts)), blocks)
     place = np.arange(edges[-1]) - edges[owner]
     starts = bounds[owner] + place * STEP
-    sums = _sums(index.projection[_terms(words)], starts)
-    both = sums.copy()
+    terms = _terms(words)
+    place = index.places[terms]
+    squares = index.squares[terms]
+    alone = lambda v: np.add.reduceat(v, starts)
+    whole, shared = alone(squares), alone(np.where(place >= 0, squares, 0))
     more = np.flatnonzero(owner[1:] == owner[:-1])
-    both[more] += sums[more + 1]
-    norms = np.linalg.norm(both, axis=1)
-    some = np.flatnonzero(norms > 1e-6)
-    for at in range(0, len(some), 8192):
-        cut = some[at : at + 8192]
-        near = (both[cut] / norms[cut, None]) @ index.vectors.T
+    lengths, inside = whole.copy(), shared.copy()
+    lengths[more] += whole[more + 1]
+    inside[more] += shared[more + 1]
+    # only passages of which a part lies in the items' terms can come near one; repeats count below
+    some = np.flatnonzero((inside > 0) & (inside >= cosine * cosine * lengths))
+    ends = np.minimum(starts + PASSAGE, bounds[owner + 1])
+    zero = len(index.projection) - 1
+    for at in range(0, len(some), 1024):
+        cut = some[at : at + 1024]
+        spot = starts[cut, None] + np.arange(PASSAGE)
+        row = np.where(spot < ends[cut, None], place[np.minimum(spot, len(place) - 1)], zero)
+        latent = index.projection[np.where(row < 0, zero, row)].sum(1)
+        # squared length with repeats: each word times the occurrences of its term
+        inner = spot < ends[cut, None]
+        term = np.where(inner, terms[np.minimum(spot, len(place) - 1)], -1)
+        times = (term[:, :, None] == term[:, None, :]).sum(2)
+        length = np.sqrt((np.where(inner, index.squares[term], 0) * times).sum(1))
+        near = (latent / length[:, None]) @ index.vectors.T
         rows, columns = np.nonzero(near >= cosine)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for r, c in zip(rows.tolist(), columns.tolist(), strict=True):
