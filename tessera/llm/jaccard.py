@@ -7,13 +7,12 @@ class and only classes are joined. The rest is exact in every step:
    order. The order puts frequent elements last (a sketch of bounded size counts all elements of all
    texts), then goes by hash, so a passage in thousands of documents anchors only those that hold little else.
 2. Tiles. Classes that share an anchor meet in its tile, and there only within size bands: bands are a
-   factor 1/t wide, so partners lie in one's own band or the next. Each task reduces what it holds of an
-   anchor to one leader before the shuffle.
-3. Stars. In a tile each class is first compared with the leader alone. The links that hold give
-   components; tiles within one component are done, so a group of copies costs as many comparisons as it
-   has members, not pairs.
+   factor 1/t wide, so partners lie in one's own band or the next.
+3. Stars. Each class is first compared with one hub alone. The links that hold give components; tiles
+   within one component are done, so a group of copies costs as many comparisons as it has members, not
+   pairs.
 4. Rest. In the tiles that still hold several components, classes of different components are paired when
-   the bitmaps allow it.
+   the bitmaps allow it, once at their first common anchor.
 
 Bitmaps keep the parity of the number of elements per bit: two of them differ in at most as many bits as the
 sets do in elements, so bit counts bound the overlap from above. Pairs under the bound are compared by
@@ -126,15 +125,16 @@ def frequency_classes(measures: DataFrame) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum((counts - counts.mean()) / unit, 0.5))) + 1, 0, 63).astype(np.uint8)
 
 
-RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4")])
+RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
+#: First anchors of a class by which a pair is told to have met before.
+HEAD = 8
 
 
 def tiles(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(key, node, n, top): the classes that share an anchor, with one of the smallest for each to be compared with.
+    """(key, node, n, at): anchors that two classes share at least, with their place in the class's order.
 
-    A task sends each tile its records of one leader per key, in one packed row, and its other members, which
-    have that leader as top. The tile names the smallest leader of a key the top of the others; a key with one
-    member in all is dropped. What a tile must hold at once is one record per key and task.
+    A task sends each tile one record per key in one packed row, marked where it holds more members; those are
+    passed through. What a tile must hold at once is one record per key and task, however large a group is.
     """
     count = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -149,27 +149,28 @@ def tiles(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFra
                 take = n - (percent * n + 99) // 100 + 1
                 order = np.argsort(classes[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:take]
                 record = np.empty(take, RECORD)
-                record["key"], record["node"], record["n"] = s[order], own, n
+                record["key"], record["node"], record["n"], record["at"] = s[order], own, n, np.arange(take)
                 held.append(record)
         if not held:
             return
         records = np.concatenate(held)
         del held
-        records = records[np.lexsort((records["node"], records["n"], records["key"], records["key"] % _U(count)))]
+        records = records[np.lexsort((records["key"], records["key"] % _U(count)))]
         lead = np.append(True, records["key"][1:] != records["key"][:-1])
         first = np.flatnonzero(lead)
-        top = records["node"][np.repeat(first, np.diff(np.append(first, len(records))))]
-        edges = np.searchsorted(records["key"] % _U(count), np.arange(count + 1, dtype=np.uint64))
         alone = np.append(np.diff(first) == 1, len(records) - first[-1] == 1)
         rank = np.cumsum(lead) - 1
+        edges = np.searchsorted(records["key"] % _U(count), np.arange(count + 1, dtype=np.uint64))
         for tile in np.flatnonzero(np.diff(edges)):
             cut = slice(edges[tile], edges[tile + 1])
             leads, own = lead[cut], records[cut]
-            columns = [np.array([tile], np.int64)], [own[leads].tobytes()], [alone[rank[cut][leads]].tobytes()], [own[~leads].tobytes()], [top[cut][~leads].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0][0]), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["tile", "leads", "alone", "members", "tops"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array([tile], np.int64)), *[pa.array([x.tobytes()], pa.binary()) for x in (own[leads], alone[rank[cut][leads]], own[~leads])]],
+                ["tile", "leads", "alone", "members"],
+            )
 
-    def table_of(records: np.ndarray, top: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(records["key"].astype(np.int64)), pa.array(records["node"]), pa.array(records["n"].astype(np.int64)), pa.array(top)], ["key", "node", "n", "top"])
+    def table_of(records: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(records["key"].astype(np.int64)), pa.array(records["node"]), pa.array(records["n"].astype(np.int64)), pa.array(records["at"].astype(np.int32))], ["key", "node", "n", "at"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads, alone = [], []
@@ -178,26 +179,29 @@ def tiles(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFra
                 leads.append(np.frombuffer(x[0].as_py(), RECORD))
                 alone.append(np.frombuffer(x[1].as_py(), bool))
                 if len(members := np.frombuffer(x[2].as_py(), RECORD)):
-                    yield table_of(members, np.frombuffer(x[3].as_py(), np.int64))
+                    yield table_of(members)
         if not leads:
             return
         records, single = np.concatenate(leads), np.concatenate(alone)
-        order = np.lexsort((records["node"], records["n"], records["key"]))
+        order = np.argsort(records["key"], kind="stable")
         records, single = records[order], single[order]
         first = np.flatnonzero(np.append(True, records["key"][1:] != records["key"][:-1]))
         sizes = np.diff(np.append(first, len(records)))
-        kept = np.repeat((sizes > 1) | ~single[first], sizes)
-        top = np.repeat(records["node"][first], sizes)[kept]
-        records = records[kept]
+        nodes = records["node"]
+        # a class in several tasks is one member
+        several = np.logical_or.reduceat(nodes != np.repeat(nodes[first], sizes), first)
+        local = np.logical_or.reduceat(~single, first)
+        records = records[np.repeat(several | local, sizes)]
         for at in range(0, len(records), 1 << 16):
-            yield table_of(records[at : at + (1 << 16)], top[at : at + (1 << 16)])
+            yield table_of(records[at : at + (1 << 16)])
 
-    sent = map_arrow(_named(docs), send, "tile long, leads binary, alone binary, members binary, tops binary")
-    return map_arrow(sent.repartition(count, "tile"), meet, "key long, node long, n long, top long")
+    sent = map_arrow(_named(docs), send, "tile long, leads binary, alone binary, members binary")
+    return map_arrow(sent.repartition(count, "tile"), meet, "key long, node long, n long, at int")
 
 
 def band_of(n: Column, percent: int) -> Column:
-    return F.floor(F.log(n) / float(np.log(100 / percent)))
+    # a little wider than the factor, so that rounding puts no partners two bands apart
+    return F.floor(F.log(n) / float(1.0001 * np.log(100 / percent)))
 
 
 def _allowed(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
@@ -305,20 +309,32 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         return shingle_arrays(docs, nodes.join(classes, "node").select("node", "doc_id"), k)
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    # of the leaders of its tiles each class is compared with the one that it meets most often
-    met = tiled.where("node <> top").groupBy("node", "top").agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("node").agg(F.max_by("top", F.struct("times", "top")).alias("top"))
-    stars = materialise(bounded(best.select(*ordered("node", "top")).distinct()))
+    # hubs: in each tile the class that shares most of its anchors, as an original does among its copies; each class is
+    # compared with the hub that it meets most often
+    shares = tiled.groupBy("node").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    hubs = tiled.join(shares, "node").groupBy("key").agg(F.max_by("node", F.struct("share", "node")).alias("hub"))
+    met = tiled.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    stars = materialise(bounded(best.select(*ordered("node", "hub")).distinct()))
     links = materialise(verified(stars, materialise(arrays_of(stars)), percent))
     near = components(links)
 
-    labelled = tiled.join(near, "node", "left").select("key", "node", "n", "band", F.coalesce("component", "node").alias("component"))
+    labelled = tiled.join(near, "node", "left").select("key", "node", "n", "at", "band", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("key")
-    rest = materialise(labelled.join(mixed, "key").join(classes.select("node", "small"), "node"))
+    left = materialise(labelled.join(mixed, "key"))
     release(tiled)
-    other = rest.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "band", "component", "small")])
+    heads = left.groupBy("node").agg(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("at", "key"))), 1, HEAD), lambda x: x["key"]).alias("head"))
+    rest = materialise(left.join(heads.join(classes.select("node", "small"), "node"), "node"))
+    release(left)
+    other = rest.select(F.col("key").alias("key_2"), *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "at", "band", "component", "small", "head")])
+    # sets of the two sizes share one of their first n - least + 1 elements, where least is the overlap that they need
+    least = F.floor((F.lit(percent) * (F.col("n") + F.col("n_2")) + 99 + percent) / (100 + percent))
+    # a pair meets at its first common anchor alone; heads hold it unless it comes late
+    before = F.array_intersect("head", "head_2")
     meets = (
-        (rest["key"] == other["key"]) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & (F.abs(F.col("band") - F.col("band_2")) <= 1)
+        (F.col("key") == F.col("key_2")) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & (F.abs(F.col("band") - F.col("band_2")) <= 1)
+        & (F.col("at") <= F.col("n") - least) & (F.col("at_2") <= F.col("n_2") - least)
+        & ((F.size(before) == 0) | (F.get(before, F.lit(0)) == F.col("key")))
         & _allowed(F.col("n"), F.col("n_2"), F.col("small"), F.col("small_2"), percent)
     )
     paired = rest.join(other, meets)
