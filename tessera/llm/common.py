@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; bounds a worker's memory whatever the batch holds.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Rows of an Arrow batch: long texts make 10,000 rows too large for a small executor.
 BATCH_ROWS = 512
 
@@ -246,7 +247,24 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow in small batches; the worker's memory is trimmed at the end of each task."""
     ship(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
