@@ -4,7 +4,7 @@ Confirmed toxic texts are the positives; a sample of all texts, whatever their l
 With the class prior p the risk of a scorer g is
     p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)]),   l the logistic loss,
 whose second term, an unbiased estimate of the negatives' risk, is kept from going below zero; where
-it does, its gradient is reversed. A linear model in numpy over presence of hashed 5-byte grams of the
+it does, its gradient is reversed. A linear model in numpy over presence of hashed 5-byte grams and word beginnings of the
 lower-cased text; the features are those most over-represented among positives.
 
 Bounds: the training sample has at most `positives` and `unlabelled` rows, those of least
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, materialise, table, text_chunks
 
-POSITIVES, UNLABELLED, FEATURES, BITS, GRAM = 3000, 9000, 4096, 22, 5
-THRESHOLD = 0.3
+POSITIVES, UNLABELLED, FEATURES, BITS, GRAM, PREFIXES = 3000, 9000, 4096, 22, 5, (6, 8)
+THRESHOLD, LEAST = 0.3, 25.0
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[9, 10, 11, 12, 13]] = 32
 
@@ -52,32 +52,46 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of the gram that starts at each byte, whether it lies in one text)."""
-    n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, bool)
-    b = _PLAIN[data].astype(np.uint64)
+    """(bucket, byte where it starts) of the grams of GRAM bytes that lie in one text, and of the first bytes of each word."""
+    n = len(data)
+    if n == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    plain = _PLAIN[data]
+    b = np.concatenate([plain, np.zeros(max(PREFIXES), np.uint8)]).astype(np.uint64)
+    factor, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
     code = np.zeros(n, np.uint64)
     for j in range(GRAM):
         code = code << np.uint64(8) | b[j : j + n]
-    buckets = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
     inside = np.ones(n, bool)
-    for edge in offsets[1:-1]:
+    for edge in offsets[1:]:
         inside[max(edge - GRAM + 1, 0) : edge] = False
-    return buckets.astype(np.int64), inside
+    place = np.flatnonzero(inside)
+    found, places = [(code[place] * factor) >> shift], [place]
+    # words: from a byte after a space or a text's start to the next space or the text's end
+    blank = plain == 32
+    start = ~blank
+    start[1:] &= blank[:-1]
+    start[offsets[:-1][offsets[:-1] < n]] = True
+    starts = np.flatnonzero(start & ~blank)
+    stops = np.sort(np.concatenate([np.flatnonzero(blank), offsets[1:]]))
+    length = stops[np.searchsorted(stops, starts, "right")] - starts if len(starts) else starts
+    for salt, size in enumerate(PREFIXES, 1):
+        code = np.zeros(len(starts), np.uint64)
+        for j in range(size):
+            code = code << np.uint64(8) | np.where(j < length, b[starts + j], np.uint64(0))
+        found.append(((code + np.uint64(salt)) * (factor ^ np.uint64(salt << 20))) >> shift)
+        places.append(starts)
+    return np.concatenate(found).astype(np.int64), np.concatenate(places)
 
 
 def document_features(texts: pa.Array, lookup: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, row within, feature): distinct features of runs of texts; buckets if lookup is None."""
     for at, to, data, offsets in text_chunks(pc.utf8_lower(texts.fill_null(""))):
-        buckets, inside = grams(data, offsets)
-        if lookup is None:
-            place = np.flatnonzero(inside)
-            feature = buckets[place]
-        else:
-            found = lookup[buckets]
-            place = np.flatnonzero((found >= 0) & inside)
-            feature = found[place].astype(np.int64)
+        feature, place = grams(data, offsets)
+        if lookup is not None:
+            found = lookup[feature]
+            own = found >= 0
+            feature, place = found[own].astype(np.int64), place[own]
         row = np.searchsorted(offsets, place, "right") - 1
         pairs = np.unique(row << BITS | feature)
         yield at, to, pairs >> BITS, pairs & ((1 << BITS) - 1)
@@ -115,7 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return Model(np.empty(0, np.int64), np.empty(0), -50.0)
     counted = map_arrow(sample, _counted, "bucket long, p int, u int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     rate_p, rate_u = (F.col("p") + 0.5) / (n_pos + 1.0), (F.col("u") + 0.5) / (n_unl + 1.0)
-    best = counted.where((F.col("p") >= 3) & (rate_p > 2 * rate_u)).orderBy((F.col("p") * F.log(rate_p / rate_u)).desc(), "bucket").limit(features)
+    # likelihood ratio of one rate for both samples against two: what chance gives among so many grams stays below LEAST
+    rate = (F.col("p") + F.col("u") + 1.0) / (n_pos + n_unl + 2.0)
+    ratio = 2 * (F.col("p") * F.log(rate_p / rate) + F.col("u") * F.log(rate_u / rate))
+    best = counted.where((F.col("p") >= 3) & (rate_p > 2 * rate_u) & (ratio >= LEAST)).orderBy(ratio.desc(), "bucket").limit(features)
     buckets = np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64)
     model = Model(buckets, np.zeros(len(buckets)), 0.0)
 
@@ -134,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 
 def train(feature: np.ndarray, lengths: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative PU risk, by Adam on the whole sample. feature: of row after row."""
+    """Weights of least non-negative PU risk, by Adam on the whole sample, and the bias that fits the prior. feature: of row after row."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     size = int(feature.max()) + 1 if len(feature) else 0
     w = np.zeros(size + 1)
@@ -155,7 +172,14 @@ def train(feature: np.ndarray, lengths: np.ndarray, positive: np.ndarray, prior:
         g = np.append(np.bincount(feature, weights=gradient[row], minlength=size)[:size], gradient.sum()) + decay * w * (np.arange(size + 1) < size)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:size], float(w[size])
+    # the bias that makes the mean score of the unlabelled sample the prior; where the risk was held at zero, the fitted
+    # one is too high and this one, as weights are held back as well, too low: the mean of both is taken
+    z = np.bincount(row, weights=w[feature], minlength=len(lengths))[unl]
+    low, high = -50.0, 50.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(z + middle, -50, 50)))).mean() < prior else (low, middle)
+    return w[:size], (min(low, float(w[size])) + float(w[size])) / 2
 
 
 def scores(texts: pa.Array, model: Model, lookup: np.ndarray) -> np.ndarray:
