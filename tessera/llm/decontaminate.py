@@ -159,7 +159,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         ids.append(item)
         held.append(words)
         answers.append(np.unique(stated if len(stated) else words[-ANSWER:]))
-    vectors = np.array(vectors, np.float32).reshape(-1, projection.shape[1])
+    vectors = np.array(vectors, np.float32).reshape(len(vectors), projection.shape[1])
     return Index(places, projection, squares, vectors, np.array(owners, np.int64), ids, held, answers)
 
 

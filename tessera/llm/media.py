@@ -30,7 +30,8 @@ from tessera.llm.common import map_arrow, text_chunks
 UNIT, ACROSS, DOWN, RATE, BINS = 192, 16, 12, 25, 16
 #: Frames that one array step handles.
 RUN = 4096
-#: A cut needs a difference above the mean of the last WINDOW differences plus DEVIATIONS of their spread, and FLOOR at least.
+#: A cut needs a difference above FLOOR, and above the median of the last WINDOW differences by DEVIATIONS of their spread
+#: (median absolute deviation), which single cuts don't move.
 WINDOW, DEVIATIONS, FLOOR = 8, 3.0, 0.3
 
 #: Fixed values of ITU-T T.81: the zigzag order of an 8 x 8 unit.
@@ -304,13 +305,14 @@ def cuts(shares: np.ndarray) -> np.ndarray:
     if len(shares) < 2:
         return np.zeros(min(len(shares), 1), np.int64)
     d = np.abs(np.diff(shares, axis=0)).sum(1) / 2
-    s1, s2 = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
-    to = np.arange(len(d))
-    frm = np.maximum(to - WINDOW, 0)
-    n = np.maximum(to - frm, 1)
-    mean = (s1[to] - s1[frm]) / n
-    spread = np.sqrt(np.maximum((s2[to] - s2[frm]) / n - mean * mean, 0))
-    return np.concatenate([[0], np.flatnonzero(d > np.maximum(mean + DEVIATIONS * spread, FLOOR)) + 1])
+    high = np.flatnonzero(d > FLOOR)
+    if not len(high):
+        return np.zeros(1, np.int64)
+    # the differences before each; missing ones at the start count as none
+    before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(WINDOW), d]), WINDOW)[high]
+    middle = np.median(before, axis=1)
+    spread = 1.4826 * np.median(np.abs(before - middle[:, None]), axis=1)
+    return np.concatenate([[0], high[d[high] > middle + DEVIATIONS * spread] + 1])
 
 
 def film(data: bytes) -> tuple[int, list[np.ndarray], np.ndarray]:
