@@ -1,11 +1,9 @@
-"""Shared pieces of the training-data operators: scratch tables, components, word hashing."""
+"""Shared pieces of the training-data operators: components, word hashing, Arrow stages."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,106 +13,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import closure
+from tessera.plans.scratch import materialise, release  # noqa: F401
+from tessera.session import table  # noqa: F401
+
 #: Bytes of text that one numpy step handles; bounds a worker's memory whatever the batch holds.
 CHUNK = 1 << 19
 #: Rows of an Arrow batch: long texts make 10,000 rows too large for a small executor.
 BATCH_ROWS = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-# ---------------------------------------------------------------- scratch tables
-
-_scratch: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode a new folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, losses are survived."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _scratch[path] = spark
-    out = spark.read.schema(schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a scratch table that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path and path in _scratch:
-        _delete(_scratch.pop(path), path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_scratch.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone
-            return
-
-
-# ---------------------------------------------------------------- connected components
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges(a, b): component is the smallest node reachable.
 
-    Min-label propagation with pointer jumping. Minima are aggregated before the shuffle, so a
-    node with very many edges is no hot group; every round is a scratch table. Null ends and
-    loops are ignored; empty edges give an empty table.
+    Null ends and loops are ignored; empty edges give an empty table.
     """
-    both = materialise(
-        edges.where("a is not null and b is not null and a <> b").select("a", "b")
-        .union(edges.where("a is not null and b is not null and a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .distinct()
-    )
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        )
-        stepped = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        jump = stepped.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        following = materialise(
-            stepped.join(jump, "component", "left")
-            .select("node", "was", F.least("component", F.coalesce("up", "component")).alias("component"))
-        )
-        moved = following.where("was <> component").limit(1).count()
-        release(labels)
-        labels = following
-        if not moved:
-            break
-    release(both)
-    out = labels.select("node", "component")
-    out._scratch_path = labels._scratch_path
-    return out
+    found = closure.components(edges.where("a <> b").select(F.col("a").alias("parent_id"), F.col("b").alias("child_id")))
+    return found.select(F.col("node_id").alias("node"), F.col("component_id").alias("component"))
 
 
 # ---------------------------------------------------------------- words and hashes in numpy
