@@ -165,11 +165,11 @@ def split_gain_top(spark, sf):
 
 @query("infer_coloring")
 def infer_coloring(spark, sf):
-    """Search over the regions and nations and one kind of leaf: supplier nodes stay out as all names of a kind are alike."""
+    """Search over all regions and nations, without smoothing."""
     nodes, edges = D.tree(spark, sf)
     small = nodes.where("type in ('region', 'nation')")
     kept = edges.join(small.select(F.col("node_id").alias("child_id")), "child_id", "left_semi").select("parent_id", "child_id")
-    assignment, _ = infer(small, kept, token_table(small), alpha=0.0, max_iterations=4)
+    assignment, _ = infer(small, kept, token_table(small), alpha=0.0)
     return assignment
 
 

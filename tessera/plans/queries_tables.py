@@ -308,9 +308,9 @@ def hierarchy_dot(spark, sf):
 
 # ---------------------------------------------------------------- rewriting
 
-@query("diagnostic_histogram", "SELECT event_type AS id, count(*) AS n, string_agg(props, '|' ORDER BY props) AS messages FROM events WHERE user_id % 2 = 0 GROUP BY event_type")
+@query("diagnostic_histogram", "SELECT event_type AS id, count(*) AS n, string_agg(props, '|' ORDER BY props) AS messages FROM events WHERE event_type <> 'click' GROUP BY event_type")
 def diagnostic_histogram(spark, sf):
-    rows = table(spark, sf, "events").select(c("event_type").alias("id"), (c("user_id") % 2).alias("warning_level"), c("props").alias("message"))
+    rows = table(spark, sf, "events").select(c("event_type").alias("id"), F.when(c("event_type") == "click", 4).otherwise(0).alias("warning_level"), c("props").alias("message"))
     return rewrite.diagnostics(rows).select("id", "n", F.array_join("messages", "|").alias("messages"))
 
 
