@@ -10,12 +10,12 @@ from tessera.operators.graphs import entry_nodes
 from tessera.plans.scratch import materialise
 
 
-def split_on(assignment: DataFrame, edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
+def split_on(assignment: DataFrame, edges: DataFrame, pivots: DataFrame | None = None, acyclic: bool = False) -> DataFrame:
     """(cluster_id, pivot, node_id): the side that goes with each pivot, its descendants within the cluster.
 
     Left out are pivots whose other side would be empty, and those where a node of the side reaches the other side
     over other clusters (the halves would be parents of each other); that needs a cyclic quotient, so the
-    global closure runs only then.
+    global closure runs only then, and a caller that knows its quotient to be acyclic says so.
     """
     own = assignment.select("cluster_id", "node_id")
     inner = within_clusters(edges, own).select("parent_id", "child_id")
@@ -24,7 +24,7 @@ def split_on(assignment: DataFrame, edges: DataFrame, pivots: DataFrame | None =
     taken = materialise(side.join(own.select(F.col("node_id").alias("node"), "cluster_id"), "node").select("cluster_id", F.col("start").alias("pivot"), F.col("node").alias("node_id")))
     sizes = own.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("whole"))
     proper = taken.groupBy("cluster_id", "pivot").agg(F.count(F.lit(1)).alias("n")).join(sizes, "cluster_id").where("n < whole").select("cluster_id", "pivot")
-    if clusters_are_cyclic(edges, own):
+    if not acyclic and clusters_are_cyclic(edges, own):
         far = reach(edges, own.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"))).where("depth > 0")
         held = own.select(F.col("node_id").alias("node"), F.col("cluster_id").alias("c2"))
         hits = taken.join(far.withColumnRenamed("start", "node_id"), "node_id").join(held, "node").where("cluster_id = c2").select("cluster_id", "pivot", "node").distinct()
