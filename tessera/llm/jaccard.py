@@ -126,6 +126,8 @@ def frequency_classes(measures: DataFrame) -> np.ndarray:
 
 
 RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
+#: Records that a task groups at once.
+RECORDS = 1_500_000
 #: First anchors of a class by which a pair is told to have met before.
 HEAD = 8
 
@@ -133,28 +135,14 @@ HEAD = 8
 def tiles(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
     """(key, node, n, at): anchors that two classes share at least, with their place in the class's order.
 
-    A task sends each tile one record per key in one packed row, marked where it holds more members; those are
-    passed through. What a tile must hold at once is one record per key and task, however large a group is.
+    A task groups its records, at most RECORDS at once, and sends each tile one record per key in one packed row,
+    marked where it holds more members; those are passed through. What a tile must hold at once is one record per key
+    and group of records, however large a group of copies is.
     """
     count = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = [], set()
-        for b in batches:
-            for _, s in sets_of(b.column(1), k):
-                n = len(s)
-                if not n or (own := identity(s)) in seen:
-                    continue
-                seen.add(own)
-                take = n - (percent * n + 99) // 100 + 1
-                order = np.argsort(classes[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:take]
-                record = np.empty(take, RECORD)
-                record["key"], record["node"], record["n"], record["at"] = s[order], own, n, np.arange(take)
-                held.append(record)
-        if not held:
-            return
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         records = np.concatenate(held)
-        del held
         records = records[np.lexsort((records["key"], records["key"] % _U(count)))]
         lead = np.append(True, records["key"][1:] != records["key"][:-1])
         first = np.flatnonzero(lead)
@@ -169,6 +157,26 @@ def tiles(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFra
                 ["tile", "leads", "alone", "members"],
             )
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+        for b in batches:
+            for _, s in sets_of(b.column(1), k):
+                n = len(s)
+                if not n or (own := identity(s)) in seen:
+                    continue
+                seen.add(own)
+                take = n - (percent * n + 99) // 100 + 1
+                order = np.argsort(classes[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:take]
+                record = np.empty(take, RECORD)
+                record["key"], record["node"], record["n"], record["at"] = s[order], own, n, np.arange(take)
+                held.append(record)
+                size += take
+                if size >= RECORDS:
+                    yield from packed(held)
+                    held, size = [], 0
+        if held:
+            yield from packed(held)
+
     def table_of(records: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(records["key"].astype(np.int64)), pa.array(records["node"]), pa.array(records["n"].astype(np.int64)), pa.array(records["at"].astype(np.int32))], ["key", "node", "n", "at"])
 
