@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import materialise
 from tessera.schema import CLUSTERING
 
 
@@ -21,7 +22,7 @@ def places(assignment: DataFrame) -> DataFrame:
 
     Clusters are ranked within ranges and ranges offset, so no task orders all of them.
     """
-    ids = assignment.select("cluster_id").distinct().repartitionByRange("cluster_id").withColumn("part", F.spark_partition_id()).persist()
+    ids = materialise(assignment.select("cluster_id").distinct().repartitionByRange("cluster_id").withColumn("part", F.spark_partition_id()))
     sizes = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("cluster_id"))

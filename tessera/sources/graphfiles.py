@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import materialise
+
 
 def dense_ids(nodes: DataFrame) -> DataFrame:
     """(node_id, dense): 0-based ids in the order of node_id, ranked within ranges and offset."""
-    ids = nodes.select("node_id").distinct().repartitionByRange("node_id").withColumn("part", F.spark_partition_id()).persist()
+    ids = materialise(nodes.select("node_id").distinct().repartitionByRange("node_id").withColumn("part", F.spark_partition_id()))
     sizes = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("node_id"))
