@@ -350,9 +350,13 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     release(rest)
     late = materialise(verified(more, materialise(arrays_of(more)), percent))
     whole = components(links.union(late))
-    named = rows.join(whole, "node", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("label"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # smallest ids are found over classes, so that a group of exact copies is one row; its rows meet in one join, which
+    # Spark can split
+    labels = classes.join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label"))
+    least_ids = labels.groupBy("label").agg(F.min("doc_id").alias("least"))
+    named = labels.join(least_ids, "label").select("node", "least")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
