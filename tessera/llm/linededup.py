@@ -3,11 +3,14 @@
 A line is its sequence of words, lower-cased (A-Z); blank lines don't count. A block is a run of
 consecutive lines; `min_words` is the least size of a block that is deleted.
 
-Partners come from line keys: for each line the shortest run of lines from it on that has min_words
-words, so a long line is its own key and a short one is joined with what follows until it is rare
-enough to delete. Each later document is paired with the earliest document of each of its shared keys.
-Every common block that is large enough starts with such a key, so its earliest holder is a partner;
-pairs grow with the number of lines, whatever a key's frequency, and nothing is capped.
+A line goes from a document if the alignment with any earlier document has it in a common block of
+min_words words at least. Not every pair is aligned for that: partners come from line keys, for each line
+the shortest run of lines from it on, and the shortest run up to it, that has min_words words (a long line is
+its own key), and the keys of a common block that is large enough cover it. So a document is first aligned
+with the earliest holder of each of its shared keys. Being a partner is not being aligned (blocks in another
+order, repeated lines), so keys of which lines are left are paired with their next earlier holders, twice as
+many in each round, until the key is gone or has no untried holder. Holders with the same lines
+count once, as they align in the same way. The result is that of aligning all pairs.
 
 Each pair is aligned by patience diff on line hashes alone (texts don't travel): the lines that are
 unique on both sides, in longest increasing order, divide the documents; common ends are matched and
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import _COMBINE, _powered, map_arrow, materialise, mix, release, table, text_chunks, word_hashes
@@ -36,15 +39,16 @@ MIN_WORDS = 10
 _U = np.uint64
 
 
-def line_table(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the non-blank lines of a run of texts: place in the text, hash, words, key (and whether there is one), and each text's first line."""
+def line_table(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of the non-blank lines of a run of texts: place in the text, hash, words, and each text's first line; of the keys, in order of texts: hash, first and last line, and each text's first key."""
     words, starts, bounds = word_hashes(data, offsets)
     breaks = np.flatnonzero(data == 10)
     texts = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[texts]
     if len(words) == 0:
         none = np.empty(0, np.int64)
-        return none, none.astype(_U), none, none.astype(_U), none.astype(bool), np.zeros(len(offsets), np.int64)
+        empty = np.zeros(len(offsets), np.int64)
+        return none, none.astype(_U), none, empty, none.astype(_U), none, none, empty
     first = np.flatnonzero(np.append(True, (texts[1:] != texts[:-1]) | (line[1:] != line[:-1])))
     up, down = _powered(len(words) + 1)
     with np.errstate(over="ignore"):
@@ -53,30 +57,39 @@ def line_table(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[n
         owner = texts[first]
         edges = np.searchsorted(owner, np.arange(len(offsets)))
         to = np.cumsum(counts)
-        last = np.searchsorted(to, to - counts + min_words)
-        whole = last < edges[owner + 1]
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * up[: len(hashes)], dtype=_U)])
-        end = np.minimum(last, len(hashes) - 1)
-        keys = mix((sums[end + 1] - sums[:-1]) * down[: len(hashes)] + _COMBINE[9])
-    return line[first], hashes, counts, keys, whole, edges
+        n = len(hashes)
+        onward = np.searchsorted(to, to - counts + min_words)
+        back = np.searchsorted(to - counts, to - min_words, "right") - 1
+        runs = np.concatenate([
+            np.stack([np.arange(n), onward], 1)[onward < edges[owner + 1]],
+            np.stack([back, np.arange(n)], 1)[back >= edges[owner]],
+        ])
+        runs = np.unique(runs[:, 0] * n + runs[:, 1])
+        start, end = runs // n, runs % n
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * up[:n], dtype=_U)])
+        keys = mix((sums[end + 1] - sums[start]) * down[start] + _COMBINE[9])
+    return line[first], hashes, counts, edges, keys, start, end, np.searchsorted(start, edges)
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, version, places, hashes, words, keys) of each document with lines; version hashes the text."""
+    """(doc_id, version, places, hashes, words, keys, starts, ends) of each document with lines; version hashes the text.
+
+    starts and ends are the keys' first and last lines, counted without the blank ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to, data, offsets in text_chunks(b.column(2)):
-                place, hashes, counts, keys, whole, edges = line_table(data, offsets, min_words)
+                place, hashes, counts, edges, keys, start, end, held = line_table(data, offsets, min_words)
                 lists = lambda v, e: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v))
-                kept = np.concatenate([[0], np.cumsum(whole)])[edges]
+                base = np.repeat(edges[:-1], np.diff(held))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), lists(place.astype(np.int32), edges), lists(hashes.astype(np.int64), edges), lists(counts.astype(np.int32), edges), lists(keys[whole].astype(np.int64), kept)],
-                    ["doc_id", "version", "places", "hashes", "words", "keys"],
+                    [b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), lists(place.astype(np.int32), edges), lists(hashes.astype(np.int64), edges), lists(counts.astype(np.int32), edges), lists(keys.astype(np.int64), held), lists((start - base).astype(np.int32), held), lists((end - base).astype(np.int32), held)],
+                    ["doc_id", "version", "places", "hashes", "words", "keys", "starts", "ends"],
                 )
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, version long, places array<int>, hashes array<long>, words array<int>, keys array<long>")
+    return map_arrow(rows, run, "doc_id long, version long, places array<int>, hashes array<long>, words array<int>, keys array<long>, starts array<int>, ends array<int>")
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -148,12 +161,8 @@ def common_blocks(x: list, y: list, words: list, min_words: int) -> list[int]:
     return out
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, version, gone): places of the lines that each document loses."""
-    lines = materialise(lines_of(docs, min_words).dropDuplicates(["doc_id", "version"]))
-    keyed = lines.select(F.struct("doc_id", "version").alias("own"), F.explode(F.array_distinct("keys")).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    pairs = keyed.join(first, "key").where("first < own").select("first", "own").distinct()
+def aligned(pairs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """(own, gone, cut) of pairs(first, own): what own loses to first, as places and as lines counted without blank ones."""
     held = lines.select(F.struct("doc_id", "version").alias("own"), "places", "hashes", "words")
     both = (
         pairs.join(held, "own")
@@ -163,14 +172,61 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = []
+            gone, cut = [], []
             for places, y, words, x in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True):
-                gone.append([places[j] for j in common_blocks(x, y, words, min_words)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
+                cut.append(common_blocks(x, y, words, min_words))
+                gone.append([places[j] for j in cut[-1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(cut, pa.list_(pa.int32()))], ["doc_id", "version", "gone", "cut"])
+
+    out = map_arrow(both, run, "doc_id long, version long, gone array<int>, cut array<int>").where(F.size("gone") > 0)
+    return materialise(out.select(F.struct("doc_id", "version").alias("own"), "gone", "cut"))
+
+
+def left_over(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of shared(own, key, start, end, ...) of which a line is not in found(own, cut)."""
+    cut = found.select("own", F.explode("cut").alias("line")).groupBy("own").agg(F.collect_set("line").alias("cut"))
+    lost = F.size(F.filter(F.coalesce("cut", F.array().cast("array<int>")), lambda i: i.between(F.col("start"), F.col("end"))))
+    return shared.join(cut, "own", "left").where(lost <= F.col("end") - F.col("start")).drop("cut")
+
 
-    found = materialise(map_arrow(both, run, "doc_id long, version long, gone array<int>").where(F.size("gone") > 0))
+def ranked(holders: DataFrame) -> DataFrame:
+    """(key, own, leads, earlier) of holders(key, own, form): earlier counts the leading holders before own.
+
+    Of holders with the same sequence of lines (form) the earliest leads.
+    """
+    marked = holders.withColumn("leads", F.col("own") == F.min("own").over(Window.partitionBy("key", "form")))
+    before = Window.partitionBy("key").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
+    return marked.select("key", "own", "leads", F.coalesce(F.sum(F.col("leads").cast("long")).over(before), F.lit(0)).alias("earlier"))
+
+
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, version, gone): places of the lines that each document loses."""
+    lines = materialise(lines_of(docs, min_words).dropDuplicates(["doc_id", "version"]))
+    keyed = lines.select(F.struct("doc_id", "version").alias("own"), F.explode(F.arrays_zip("keys", "starts", "ends")).alias("k")).select("own", F.col("k.keys").alias("key"), F.col("k.starts").alias("start"), F.col("k.ends").alias("end"))
+    first = keyed.groupBy("key").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    shared = materialise(keyed.join(first, "key").where("first < own"))
+    tried = materialise(shared.select("first", "own").distinct())
+    found = aligned(tried, lines, min_words)
+    left = materialise(left_over(shared.drop("first"), found))
+    if not left.isEmpty():
+        holders = materialise(keyed.join(left.select("key").distinct(), "key", "left_semi").select("key", "own").distinct())
+        few = lines.withColumn("own", F.struct("doc_id", "version")).join(holders.select("own").distinct(), "own", "left_semi")
+        few = materialise(few.select("own", "doc_id", "version", "places", "hashes", "words", F.xxhash64("hashes").alias("form")))
+        ranks = materialise(ranked(holders.join(few.select("own", "form"), "own")))
+        left = left.join(ranks.select("key", "own", "earlier"), ["key", "own"])
+        leading = ranks.where("leads").select("key", F.col("earlier").alias("rank"), F.col("own").alias("first"))
+        at = 1  # holder 0 is tried
+        while True:
+            left = materialise(left_over(left.where(F.col("earlier") > at), found))
+            if left.isEmpty():
+                break
+            due = left.select("own", "key", F.explode(F.sequence(F.lit(at).cast("long"), F.least(F.lit(2 * at), F.col("earlier") - 1))).alias("rank"))
+            pairs = materialise(due.join(leading, ["key", "rank"]).select("first", "own").distinct().join(tried, ["first", "own"], "left_anti"))
+            found, tried, at = found.union(aligned(pairs, few, min_words)), tried.union(pairs), 2 * at + 1
+    out = materialise(found.select("own.doc_id", "own.version", F.explode("gone").alias("place")).groupBy("doc_id", "version").agg(F.collect_set("place").alias("gone")))
+    release(shared)
     release(lines)
-    return found.select("doc_id", "version", F.explode("gone").alias("place")).groupBy("doc_id", "version").agg(F.collect_set("place").alias("gone"))
+    return out
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, n_deleted: str | None = None) -> DataFrame:

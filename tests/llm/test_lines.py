@@ -92,3 +92,32 @@ def test_passages_go_from_the_later_document(spark):
 
 def test_empty_table(spark):
     assert linededup.dedup(documents(spark, ["a"]).where("false")).count() == 0
+
+
+def all_pairs(rows, min_words):
+    """Text by (doc_id, text): every earlier document is aligned with every later one."""
+    docs = sorted(set(rows))
+    lines = {d: [(p, canonical(x)) for p, x in enumerate(d[1].split("\n")) if canonical(x)] for d in docs}
+    out = {}
+    for k, d in enumerate(docs):
+        gone, y = set(), [v for _, v in lines[d]]
+        for e in docs[:k]:
+            gone |= {lines[d][j][0] for j in linededup.common_blocks([v for _, v in lines[e]], y, [len(v) for v in y], min_words)}
+        out[d] = "\n".join(x for p, x in enumerate(d[1].split("\n")) if p not in gone)
+    return out
+
+
+def test_blocks_that_the_earliest_holder_has_in_another_order(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(words(rng, 12)) for _ in range(3))
+    texts = [f"{b}\nx\n{c}\ny\n{a}", f"one\n{a}", "nothing", f"two\n{b}", f"three\n{c}", f"{a}\nof its own\n{b}\nagain\n{c}"]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(documents(spark, texts)).collect()}
+    assert got[5] == "of its own\nagain"
+
+
+def test_all_earlier_documents_are_aligned(spark):
+    rng = random.Random(12)
+    pool = [" ".join(words(rng, rng.choice([1, 2, 4, 9, 12]))) for _ in range(14)]
+    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(90)]
+    got = {(i, t): r for (i, t), r in zip(texts, [r["text"] for r in linededup.dedup(documents(spark, texts)).orderBy("doc_id").collect()])}
+    assert got == all_pairs(texts, 10)
