@@ -6,9 +6,10 @@ bound that loses nothing). For each place where the template may lie, the words
 template anchor the alignment, the longest increasing subsequence of anchors stays and gaps are aligned in
 the same way; coverage is the share of the template's words that are matched.
 
-A place is a window of the document that starts `slack` words before an occurrence of the template's rarest
-word there and has the template's length with `slack` on either side, so what lies far away doesn't count; all
-occurrences are tried.
+A place is a window of the document around an occurrence of one of the template's rarest words there, as the
+word's place in the template says; it has the template's length with `slack` words on either side, so what lies
+far away doesn't count. So many words are taken, rarest first, that a copy with the coverage can't lack them all;
+all their occurrences are tried, and of overlapping copies of one template that with most matched words stays.
 
 Defined results: null and empty texts match nothing and give a row without licenses; every document gives one
 row, repeated rows each; of overlapping matches those contained in one with more matched words are left
@@ -82,19 +83,49 @@ def align(template: list[int], text: list[int]) -> tuple[int, int, int]:
 
 def scan(words: list[int], counts: np.ndarray, template: list[int], coverage: float, slack: int) -> list[tuple[int, int, int]]:
     """(matched, first, last place) of a template in a document; words are vocabulary places or -1, counts theirs in the document."""
-    rare = min(set(template), key=lambda w: (counts[w] if counts[w] else 1 << 60, w))
-    least = np.ceil(coverage * len(template) - 1e-9)
-    out: list[tuple[int, int, int]] = []
-    offsets = [i for i, w in enumerate(template) if w == rare]
-    for at in np.flatnonzero(np.asarray(words) == rare).tolist():
-        if out and at <= out[-1][2]:
-            continue
-        a = max(0, at - offsets[-1] - slack)
-        z = min(len(words), at - offsets[0] + len(template) + slack)
+    least = int(np.ceil(coverage * len(template) - 1e-9))
+    offsets: dict[int, list[int]] = {}
+    for i, w in enumerate(template):
+        offsets.setdefault(w, []).append(i)
+    anchors: set[int] = set()
+    spare = len(template) - least
+    for w in sorted(offsets, key=lambda w: (counts[w], w)):
+        if spare < 0:
+            break
+        anchors.add(w)
+        spare -= len(offsets[w])
+    text = np.asarray(words)
+    inside = np.concatenate([[0], np.cumsum(np.isin(text, template))])
+    tried: set[tuple[int, int]] = set()
+    hits: list[tuple[int, int, int]] = []
+    whole = (0, -1)  # first and last place of the latest complete copy
+
+    def attempt(a: int, z: int) -> bool:
+        nonlocal whole
+        a, z = max(0, a), min(len(words), z)
+        if (a, z) in tried or inside[z] - inside[a] < least:
+            return False
+        tried.add((a, z))
         n, first, last = align(template, words[a:z])
-        if n >= least:
-            out.append((n, a + first, a + last))
-    return out
+        if n < least:
+            return False
+        hits.append((n, a + first, a + last))
+        if n == len(template) == last - first + 1:
+            whole = (a + first, a + last)
+        return True
+
+    for at in np.flatnonzero(np.isin(text, list(anchors))).tolist():
+        if whole[0] <= at <= whole[1]:
+            continue
+        own = offsets[words[at]]
+        found = [attempt(at - o - slack, at - o + len(template) + slack) for o in own]
+        if len(own) > 1 and not any(found):
+            attempt(at - own[-1] - slack, at - own[0] + len(template) + slack)
+    out: list[tuple[int, int, int]] = []
+    for h in sorted(hits, key=lambda h: (-h[0], h[2] - h[1], h[1])):
+        if all(h[2] < o[1] or o[2] < h[1] for o in out):
+            out.append(h)
+    return sorted(out, key=lambda h: h[1])
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, slack: int = SLACK) -> DataFrame:

@@ -134,6 +134,17 @@ def test_licenses(spark, awkward):
     assert licenses.licenses(documents(spark, ["a"]).where("false")).count() == 0
 
 
+def test_license_copies_without_the_rarest_word(spark):
+    mit = licenses.TEMPLATES["MIT-text"]
+    edited = mit.replace(" merge,", "")
+    far = "this text is of another kind " * 40
+    rows = [(1, f"{mit}\n{far}\n{edited}"), (2, f"{edited}\n{far}\n{mit}"), (3, f"{edited}\n{far} to merge {far}"), (4, f"{mit}\n{edited}\n{mit}"), (5, f"{far} merge {far}")]
+    got = {r["doc_id"]: r for r in licenses.licenses(documents(spark, rows)).collect()}
+    assert {i: r["n_licenses"] for i, r in got.items()} == {1: 2, 2: 2, 3: 1, 4: 3, 5: 0}
+    assert [m["coverage"] == 1.0 for m in got[1]["matches"]] == [True, False]
+    assert [m["coverage"] == 1.0 for m in got[4]["matches"]] == [True, False, True]
+
+
 @needs_tables
 def test_licenses_of_the_tables(spark):
     """Exact notices found by search are found by alignment."""
