@@ -155,7 +155,7 @@ y AS (SELECT *, CASE WHEN k > 0 THEN -k * ln(k) ELSE 0 END AS h FROM (SELECT *,
 z AS (SELECT cluster_id, "pivot", half, sum(h) * max(ee)::DOUBLE / max(nodes) + sum(total::DOUBLE / size * CASE WHEN q > 0 THEN -q * ln(q) ELSE 0 END) AS part FROM y GROUP BY ALL)
 SELECT cluster_id, "pivot", round(sum(CASE WHEN half = 0 THEN part ELSE -part END), 6) + 0.0 AS gain FROM z GROUP BY ALL""")
 def split_gain_top(spark, sf):
-    """Gains of splitting a region's component at each nation."""
+    """Gains of splitting a region's component at each nation; split_gains has all pivots."""
     nodes, edges, state = tree_state(spark, sf)
     tokens = materialise(token_table(nodes))
     sides = materialise(moves.split_on(state, edges, nodes.where("type = 'nation'")))
@@ -163,25 +163,30 @@ def split_gain_top(spark, sf):
     return split_gains(state, edges, objective, objective.parts(state), sides).select("cluster_id", "pivot", r6(F.col("gain")).alias("gain"))
 
 
+@query("split_gains")
+def split_gains_query(spark, sf):
+    """Gains of splitting a region's component at each pivot that leaves a rest, without smoothing."""
+    nodes, edges, state = tree_state(spark, sf)
+    objective = info.VariationOfInformation(materialise(token_table(nodes)), edges, 0.0)
+    return split_gains(state, edges, objective, objective.parts(state)).select("cluster_id", "pivot", r6(F.col("gain")).alias("gain"))
+
+
 @query("infer_coloring")
 def infer_coloring(spark, sf):
-    """Search over all regions and nations, without smoothing."""
+    """Search over all nodes of the tree, without smoothing."""
     nodes, edges = D.tree(spark, sf)
-    small = nodes.where("type in ('region', 'nation')")
-    kept = edges.join(small.select(F.col("node_id").alias("child_id")), "child_id", "left_semi").select("parent_id", "child_id")
-    assignment, _ = infer(small, kept, token_table(small), alpha=0.0)
+    assignment, _ = infer(nodes, edges, token_table(nodes), alpha=0.0)
     return assignment
 
 
 @query("merge_gains")
 def merge_gains_query(spark, sf):
-    """Gains of all merges that the parents of clusters allow, with each region's nations as clusters of their own."""
+    """Gains of all merges that the parents of clusters allow, with each node of the tree as a cluster of its own."""
     nodes, edges = D.tree(spark, sf)
-    own = nodes.where("type in ('region', 'nation')")
-    state = materialise(own.select(F.col("node_id").alias("cluster_id"), "node_id"))
-    kept = materialise(edges.join(own.select(F.col("node_id").alias("child_id")), "child_id", "left_semi").select("parent_id", "child_id"))
-    objective = info.VariationOfInformation(materialise(token_table(own)), kept, 0.0)
-    return merge_gains(state, kept, objective, objective.parts(state)).select("c1", "c2", r6(F.col("gain")).alias("gain"))
+    state = materialise(nodes.select(F.col("node_id").alias("cluster_id"), "node_id"))
+    edges = materialise(edges)
+    objective = info.VariationOfInformation(materialise(token_table(nodes)), edges, 0.0)
+    return merge_gains(state, edges, objective, objective.parts(state)).select("c1", "c2", r6(F.col("gain")).alias("gain"))
 
 
 @query("purity", "SELECT p_brand AS cluster_id, sum(n)::BIGINT AS size, round(max(n)::DOUBLE / sum(n), 6) + 0.0 AS purity FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tessera.operators import closure, info
+from tessera.plans import queries_information as Q
 from tessera.plans.search import infer, split_gains
 from tests import graphs as G
 
@@ -68,3 +69,29 @@ def test_empty_tables(spark):
     tokens = G.tokens(spark, G.ONE_TOKEN).where("false")
     found = info.variation(G.assignment(spark, [["a"]]), tokens).first()
     assert found["vi"] == 0.0
+
+
+@pytest.fixture(scope="module")
+def small_tree(spark, tmp_path_factory):
+    """Two regions of one nation each, with two customers and a supplier."""
+    path = str(tmp_path_factory.mktemp("tree"))
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "east"), (1, "west")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "x_a", 0), (1, "y_b", 1)]),
+        "customer": ("c_custkey int, c_name string, c_nationkey int", [(1, "buyer_a", 0), (2, "buyer_b", 1)]),
+        "supplier": ("s_suppkey int, s_name string, s_nationkey int", [(1, "seller_a", 0)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_queries_take_all_nodes(spark, small_tree):
+    found = {r["node_id"] for r in Q.infer_coloring(spark, small_tree).collect()}
+    assert found == {"r0", "r1", "n0", "n1", "c1", "c2", "s1"}
+    pairs = {frozenset((r["c1"], r["c2"])) for r in Q.merge_gains_query(spark, small_tree).collect()}
+    assert {frozenset(p) for p in (("c1", "n0"), ("s1", "n0"), ("c1", "s1"), ("c2", "n1"))} <= pairs
+
+
+def test_split_gains_take_all_pivots(spark, small_tree):
+    assert {r["pivot"] for r in Q.split_gains_query(spark, small_tree).collect()} == {"n0", "n1", "c1", "c2", "s1"}
