@@ -5,7 +5,7 @@ Each round joins only what the last one found, and is a scratch table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import materialise, release
@@ -80,22 +80,49 @@ def within_clusters(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return edges.join(p, "parent_id").join(c, ["child_id", "cluster_id"]).select("cluster_id", "parent_id", "child_id")
 
 
+#: Tables up to so many rows are joined without a look at their keys: one task can read them.
+SMALL = 1024
+
+
+def frequent_keys(rows: DataFrame, key: str, n: int, changed: Column | None = None) -> tuple[list, int]:
+    """Keys that more than a 4P-th of the n rows share (P shuffle partitions), at most 4P; how many rows are changed."""
+    least = max(n // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), SMALL // 4)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lit(False) if changed is None else changed).alias("changed"))
+    found = counts.agg(F.collect_list(F.when(F.col("n") > least, F.col(key))).alias("keys"), F.sum("changed").alias("changed")).first()
+    return (found["keys"] if n > SMALL else []), found["changed"] or 0
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, frequent: list) -> DataFrame:
+    """rows left-joined with values (one row a key at most) on key, however many rows share a key.
+
+    The values of the frequent keys are broadcast, a row each; rows of other keys are shuffled.
+    """
+    if not frequent:
+        return rows.join(values, key, "left")
+    hot = F.coalesce(F.col(key).isin(frequent), F.lit(False))
+    return rows.where(hot).join(F.broadcast(values.where(hot)), key, "left").unionByName(rows.where(~hot).join(values.where(~hot), key, "left"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node_id, component_id) of the nodes of edges: the smallest node of the weakly connected component.
 
-    Min-label propagation with pointer jumping; minima are combined before the shuffle, so a hub is no hot group.
+    Min-label propagation with pointer jumping. Minima are combined before the shuffle, and the labels of hubs and of
+    large components reach their many rows by broadcast (looked_up), so neither is a hot group.
     """
     plain = edges.where("parent_id is not null and child_id is not null")
     both = materialise(plain.select("parent_id", "child_id").union(plain.select("child_id", "parent_id")).distinct())
     labels = materialise(both.groupBy(F.col("parent_id").alias("node_id")).agg(F.min("child_id").alias("m")).select("node_id", F.least("node_id", "m").alias("component_id")))
+    hubs, n = frequent_keys(both, "child_id", both.count())[0], labels.count()
+    frequent = frequent_keys(labels, "component_id", n)[0]
     while True:
-        near = both.join(labels.select(F.col("node_id").alias("child_id"), "component_id"), "child_id").groupBy(F.col("parent_id").alias("node_id")).agg(F.min("component_id").alias("m"))
-        stepped = labels.join(near, "node_id").select("node_id", F.col("component_id").alias("was"), F.least("component_id", "m").alias("component_id"))
-        jump = stepped.select(F.col("node_id").alias("component_id"), F.col("component_id").alias("up"))
-        following = materialise(stepped.join(jump, "component_id", "left").select("node_id", "was", F.least("component_id", F.coalesce("up", "component_id")).alias("component_id")))
+        near = looked_up(both, labels.select(F.col("node_id").alias("child_id"), "component_id"), "child_id", hubs).groupBy(F.col("parent_id").alias("node_id")).agg(F.min("component_id").alias("near"))
+        jump = labels.select(F.col("node_id").alias("component_id"), F.col("component_id").alias("up"))
+        jumped = looked_up(labels.select("node_id", "component_id"), jump, "component_id", frequent).join(near, "node_id")
+        following = materialise(jumped.select("node_id", F.col("component_id").alias("was"), F.least("component_id", F.coalesce("up", "component_id"), "near").alias("component_id")))
         release(labels)
         labels = following
-        if labels.where("was <> component_id").isEmpty():
+        frequent, changed = frequent_keys(labels, "component_id", n, F.col("was") != F.col("component_id"))
+        if not changed:
             break
     release(both)
     return labels.select("node_id", "component_id")
