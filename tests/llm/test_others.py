@@ -222,7 +222,7 @@ def test_rules_and_aliases(spark):
     assert {got[i][3] for i in (7, 8, 9)} == {"block"}
     # one component holds an allowed and a blocked url: allow has precedence
     assert {got[i][3] for i in (10, 11, 12)} == {"allow"} and got[13][2:] == ("com/fr/", "allow")
-    assert got[14][3] == got[15][3] == "allow" and got[16] == ("u@h.com:80", "/de/x", None, "allow")
+    assert got[14][3] == got[15][3] == "allow" and got[16] == ("u@h.com:80", "/de/x", None, "block")  # its normal form, without the default port, is blocked
     assert urls.judge(df.where("false")).count() == 0
 
 
