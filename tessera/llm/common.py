@@ -28,6 +28,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def free_name(name: str, taken) -> str:
+    """name, or the first of name_, name__, ... that isn't taken (Spark's names don't differ by case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges(a, b): component is the smallest node reachable.
 

@@ -1,26 +1,28 @@
 """Operator 8: line dedup by pairwise patience alignment.
 
-A line is its sequence of words, lower-cased (A-Z); blank lines don't count. A block is a run of
+A line is its sequence of words, lower-cased (A-Z); blank lines don't count and stay. A block is a run of
 consecutive lines; `min_words` is the least size of a block that is deleted.
 
-A line goes from a document if the alignment with any earlier document has it in a common block of
-min_words words at least. Not every pair is aligned for that: partners come from line keys, for each line
-the shortest run of lines from it on, and the shortest run up to it, that has min_words words (a long line is
-its own key), and the keys of a common block that is large enough cover it. So a document is first aligned
-with the earliest holder of each of its shared keys. Being a partner is not being aligned (blocks in another
-order, repeated lines), so keys of which lines are left are paired with their next earlier holders, twice as
-many in each round, until the key is gone or has no untried holder. Holders with the same lines
-count once, as they align in the same way. The result is that of aligning all pairs.
-
-Each pair is aligned by patience diff on line hashes alone (texts don't travel): the lines that are
-unique on both sides, in longest increasing order, divide the documents; common ends are matched and
-gaps are aligned in the same way. Of the aligned common blocks those of min_words words at least are
-deleted from the later document.
-
-Order is by (doc_id, hash of the text). Defined results: rows that repeat both are one document and
-keep or lose the same lines; rows with a null id or text, and empty texts, pass unchanged and are no
-partners; a text that loses all its lines is empty; all columns pass through, whatever their names; an
-empty table gives no rows.
+1. Partners. A document's keys are, for each line, the shortest run of lines from it on, and the shortest run up to it,
+   that has min_words words (a long line is its own key): the keys of a common block that is large enough cover it.
+   For each of its shared keys a document is paired with the key's earliest holder, so the pairs are no more than the
+   keys and a frequent line makes no group of pairs.
+2. Alignment. Each pair is aligned by patience diff on line hashes alone (texts don't travel): the lines that are
+   unique on both sides, in longest increasing order, divide the documents; common ends are matched and
+   gaps are aligned in the same way. Of the aligned common blocks those of min_words words at least are
+   deleted from the later document.
+3. Check. An alignment is in order and one to one, so of blocks that the partner holds in another order, or that a
+   document repeats, some are left. Keys that an earlier document holds and of which lines are left are found by
+   comparison with what the alignments deleted, and their lines go as well (about 1 % of all that go on the tables).
+
+So a line goes if and only if a run of lines around it, of min_words words at least, stands in an earlier document.
+Lines are compared by 64-bit hashes.
+
+Order is by (doc_id, hash of the text); a doc_id may have any type that can be ordered. Defined results: rows that
+repeat both are one document and keep or lose the same lines; rows with a null id or text, and empty texts, pass
+unchanged and are no partners; a text that loses all its lines is empty; texts are read whole, however long; all columns
+pass through, whatever their names, and a name for a further column that docs has is an error; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _COMBINE, _powered, map_arrow, materialise, mix, release, table, text_chunks, word_hashes
+from tessera.llm.common import _COMBINE, _powered, free_name, map_arrow, materialise, mix, release, table, text_chunks, word_hashes
 
 MIN_WORDS = 10
 _U = np.uint64
@@ -71,6 +73,10 @@ def line_table(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[n
     return line[first], hashes, counts, edges, keys, start, end, np.searchsorted(start, edges)
 
 
+def version_of(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, version, places, hashes, words, keys, starts, ends) of each document with lines; version hashes the text.
 
@@ -88,8 +94,8 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
                     ["doc_id", "version", "places", "hashes", "words", "keys", "starts", "ends"],
                 )
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, version long, places array<int>, hashes array<long>, words array<int>, keys array<long>, starts array<int>, ends array<int>")
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", version_of(docs).alias("version"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, places array<int>, hashes array<long>, words array<int>, keys array<long>, starts array<int>, ends array<int>")
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -161,90 +167,87 @@ def common_blocks(x: list, y: list, words: list, min_words: int) -> list[int]:
     return out
 
 
-def aligned(pairs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
-    """(own, gone, cut) of pairs(first, own): what own loses to first, as places and as lines counted without blank ones."""
-    held = lines.select(F.struct("doc_id", "version").alias("own"), "places", "hashes", "words")
-    both = (
-        pairs.join(held, "own")
-        .join(held.select(F.col("own").alias("first"), F.col("hashes").alias("early")), "first")
-        .select("own.doc_id", "own.version", "places", "hashes", "words", "early")
-    )
+def _share(df: DataFrame, n: int) -> int:
+    """The 4P-th part of n rows (P shuffle partitions): keys, or earlier documents, with more rows are handled apart."""
+    return max(n // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 256)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gone, cut = [], []
-            for places, y, words, x in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True):
-                cut.append(common_blocks(x, y, words, min_words))
-                gone.append([places[j] for j in cut[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(cut, pa.list_(pa.int32()))], ["doc_id", "version", "gone", "cut"])
-
-    out = map_arrow(both, run, "doc_id long, version long, gone array<int>, cut array<int>").where(F.size("gone") > 0)
-    return materialise(out.select(F.struct("doc_id", "version").alias("own"), "gone", "cut"))
 
+def earlier_keys(lines: DataFrame) -> DataFrame:
+    """(own, start, end, first) of the keys that an earlier document holds; first is the earliest."""
+    keyed = lines.select(F.struct("doc_id", "version").alias("own"), F.explode(F.arrays_zip("keys", "starts", "ends")).alias("k")).select("own", F.col("k.keys").alias("key"), F.col("k.starts").alias("start"), F.col("k.ends").alias("end"))
+    first = materialise(keyed.groupBy("key").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    least = _share(lines, first.agg(F.sum("n")).first()[0] or 0)
+    # at most 4P keys are that frequent: they are broadcast
+    hot = F.broadcast(first.where(F.col("n") > least).select("key", "first"))
+    cold = first.where(F.col("n") <= least).select("key", "first")
+    found = keyed.join(hot, "key").unionByName(keyed.join(hot, "key", "left_anti").join(cold, "key"))
+    out = materialise(found.where("first < own").select("own", "start", "end", "first"))
+    release(first)
+    return out
 
-def left_over(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of shared(own, key, start, end, ...) of which a line is not in found(own, cut)."""
-    cut = found.select("own", F.explode("cut").alias("line")).groupBy("own").agg(F.collect_set("line").alias("cut"))
-    lost = F.size(F.filter(F.coalesce("cut", F.array().cast("array<int>")), lambda i: i.between(F.col("start"), F.col("end"))))
-    return shared.join(cut, "own", "left").where(lost <= F.col("end") - F.col("start")).drop("cut")
 
+def aligned(pairs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """(own, cut) of pairs(first, own): the lines, counted without blank ones, that own loses to first."""
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    held = lines.select(F.struct("doc_id", "version").alias("own"), "hashes", "words")
+    least = _share(pairs, pairs.count())
+    # at most 4P documents have so many partners; as many copies of one are sent as its partners need tasks, 8P in all at most
+    busy = F.broadcast(materialise(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("first", F.ceil(F.col("n") / least).cast("int").alias("salts"))))
+    salts = F.coalesce("salts", F.lit(1))
+    many = pairs.join(busy, "first", "left").select("first", "own", F.pmod(F.xxhash64("own"), salts).cast("int").alias("salt"))
+    early = held.select(F.col("own").alias("first"), F.col("hashes").alias("early")).join(busy, "first", "left").select("first", "early", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    both = many.join(held, "own").join(early, ["first", "salt"]).select("own.doc_id", "own.version", "hashes", "words", "early")
 
-def ranked(holders: DataFrame) -> DataFrame:
-    """(key, own, leads, earlier) of holders(key, own, form): earlier counts the leading holders before own.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [common_blocks(x, y, words, min_words) for y, words, x in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.int32()))], ["doc_id", "version", "cut"])
 
-    Of holders with the same sequence of lines (form) the earliest leads.
-    """
-    marked = holders.withColumn("leads", F.col("own") == F.min("own").over(Window.partitionBy("key", "form")))
-    before = Window.partitionBy("key").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.select("key", "own", "leads", F.coalesce(F.sum(F.col("leads").cast("long")).over(before), F.lit(0)).alias("earlier"))
+    out = map_arrow(both, run, f"doc_id {kind}, version long, cut array<int>").where(F.size("cut") > 0)
+    return out.select(F.struct("doc_id", "version").alias("own"), "cut")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, version, gone): places of the lines that each document loses."""
+    """(own, gone, checked): places of the lines that each document (own: doc_id, version) loses; checked counts those that no alignment had."""
     lines = materialise(lines_of(docs, min_words).dropDuplicates(["doc_id", "version"]))
-    keyed = lines.select(F.struct("doc_id", "version").alias("own"), F.explode(F.arrays_zip("keys", "starts", "ends")).alias("k")).select("own", F.col("k.keys").alias("key"), F.col("k.starts").alias("start"), F.col("k.ends").alias("end"))
-    first = keyed.groupBy("key").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    shared = materialise(keyed.join(first, "key").where("first < own"))
-    tried = materialise(shared.select("first", "own").distinct())
-    found = aligned(tried, lines, min_words)
-    left = materialise(left_over(shared.drop("first"), found))
-    if not left.isEmpty():
-        holders = materialise(keyed.join(left.select("key").distinct(), "key", "left_semi").select("key", "own").distinct())
-        few = lines.withColumn("own", F.struct("doc_id", "version")).join(holders.select("own").distinct(), "own", "left_semi")
-        few = materialise(few.select("own", "doc_id", "version", "places", "hashes", "words", F.xxhash64("hashes").alias("form")))
-        ranks = materialise(ranked(holders.join(few.select("own", "form"), "own")))
-        left = left.join(ranks.select("key", "own", "earlier"), ["key", "own"])
-        leading = ranks.where("leads").select("key", F.col("earlier").alias("rank"), F.col("own").alias("first"))
-        at = 1  # holder 0 is tried
-        while True:
-            left = materialise(left_over(left.where(F.col("earlier") > at), found))
-            if left.isEmpty():
-                break
-            due = left.select("own", "key", F.explode(F.sequence(F.lit(at).cast("long"), F.least(F.lit(2 * at), F.col("earlier") - 1))).alias("rank"))
-            pairs = materialise(due.join(leading, ["key", "rank"]).select("first", "own").distinct().join(tried, ["first", "own"], "left_anti"))
-            found, tried, at = found.union(aligned(pairs, few, min_words)), tried.union(pairs), 2 * at + 1
-    out = materialise(found.select("own.doc_id", "own.version", F.explode("gone").alias("place")).groupBy("doc_id", "version").agg(F.collect_set("place").alias("gone")))
+    shared = earlier_keys(lines)
+    found = aligned(shared.select("first", "own").distinct(), lines, min_words).groupBy("own").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cover = shared.groupBy("own").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["end"]))))
+    cut = F.coalesce("cut", F.array().cast("array<int>"))
+    whole = cover.join(found, "own", "left").select("own", cut.alias("cut"), F.array_except(covered, cut).alias("left"))
+    places = lines.select(F.struct("doc_id", "version").alias("own"), "places")
+    out = materialise(whole.join(places, "own").select("own", F.transform(F.concat("cut", "left"), lambda i: F.get("places", i)).alias("gone"), F.size("left").alias("checked")))
     release(shared)
     release(lines)
     return out
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, n_deleted: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, n_deleted: str | None = None, n_checked: str | None = None) -> DataFrame:
     """docs, all columns, with the text of later documents without the lines that earlier ones hold.
 
-    n_deleted names a further column with the number of lines deleted.
+    n_deleted and n_checked name further columns: the lines deleted, and those of them that the check had to add.
     """
-    gone = deletions(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.col("gone").alias("_gone"))
+    for name in (n_deleted, n_checked):
+        if name and name.lower() in map(str.lower, docs.columns):
+            raise ValueError(f"docs has a column {name}")
+    found = deletions(docs, min_words)
+    names = dict.fromkeys(("id", "version", "gone", "checked"))
+    for name in names:
+        names[name] = free_name(name, [*docs.columns, *filter(None, names.values()), *filter(None, (n_deleted, n_checked))])
+    gone = found.select(*[F.col(c).alias(names[k]) for k, c in (("id", "own.doc_id"), ("version", "own.version"), ("gone", "gone"), ("checked", "checked"))])
+    places = F.col(names["gone"])
     lines = F.split(docs["text"], "\n", -1)
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.transform(F.array_except(places, F.col("_gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_v"]), "left")
-    out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i))
+    text = F.when(places.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    joined = docs.join(gone, (docs["doc_id"] == gone[names["id"]]) & (version_of(docs) == gone[names["version"]]), "left")
+    out = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]
     if n_deleted:
-        out.append(F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(n_deleted))
+        out.append(F.coalesce(F.size(places), F.lit(0)).cast("long").alias(n_deleted))
+    if n_checked:
+        out.append(F.coalesce(names["checked"], F.lit(0)).cast("long").alias(n_checked))
     return joined.select(*out)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), n_deleted="n_deleted")
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), n_deleted="n_deleted", n_checked="n_checked")
