@@ -118,6 +118,90 @@ def test_recall_against_brute_force_on_the_tables(spark):
     assert expected and len(found & expected) >= 0.9 * len(expected)
 
 
+def plain_words(t):
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split()
+
+
+def lcs(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        left = 0
+        for j, b in enumerate(y):
+            left, row[j + 1] = row[j + 1], left + 1 if a == b else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def brute_leaks(docs, items):
+    """(doc, item) by common subsequence with each stretch of a document that can hold enough of an item's words."""
+    out = set()
+    for d, text in docs:
+        y = plain_words(text)
+        for i, x in items:
+            held = [w in set(x) for w in y]
+            if not x or sum(held) < 0.5 * len(x):
+                continue
+            size = 2 * len(x) + decontaminate.PASSAGE
+            for a in range(0, len(y), decontaminate.STEP):
+                part = [w for w, h in zip(y[a : a + size], held[a : a + size]) if h]
+                if len(set(part) & set(x)) < 0.25 * len(set(x)) or len(part) < 0.5 * len(x):
+                    continue
+                share, answer = lcs(x, part) / len(x), len(set(x[-6:]) & set(part)) / len(set(x[-6:]))
+                if share >= 0.75 or share >= 0.5 and answer >= 0.5:
+                    out.add((d, i))
+                    break
+    return out
+
+
+@needs_tables
+def test_paraphrases_against_common_subsequences(spark):
+    """The tables' documents with paraphrases planted in 120 of them: words left out, replaced and put in."""
+    rng = random.Random(17)
+    items = [(r["item_id"], plain_words(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
+    every = [w for _, t in docs[:200] for w in plain_words(t)]
+    planted = set()
+    for k in range(0, 480, 4):
+        i, x = rng.choice(items)
+        worded = []
+        for w in x:
+            dice = rng.random()
+            worded += [] if dice < 0.08 else [rng.choice(every)] if dice < 0.16 else [w, rng.choice(every)] if dice < 0.24 else [w]
+        d, t = docs[k]
+        own = t.split(" ")
+        at = rng.randrange(len(own) + 1)
+        docs[k] = (d, " ".join(own[:at] + worded + own[at:]))
+        planted.add((d, i))
+    expected = brute_leaks(docs, items)
+    df = documents(spark, docs)
+    index = decontaminate.build(df, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(df, index).collect()}
+    assert len(planted & expected) >= 0.9 * len(planted)
+    assert len(found & expected) >= 0.95 * len(expected)
+    # nothing but what the brute force confirms, or a neighbour of the same share
+    assert len(found - expected) <= 0.02 * len(found)
+
+
+def test_hard_places_of_items(spark):
+    """Items between rare words, with a word that repeats, and of few words; slices of the benchmark; the parameters."""
+    rng = random.Random(23)
+    common = words(rng, 40)
+    items = {1: [rng.choice(common) for _ in range(16)], 2: ["ring"] * 6 + words(rng, 12), 3: ["only", "five", "words", "stand", "here"], 4: words(rng, 40), 5: ["yes"]}
+    rare = lambda n: ["".join(rng.choice("klmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)]
+    texts = [" ".join(rng.choice(common) for _ in range(12)) for _ in range(300)]
+    texts += [" ".join(rare(23) + items[1] + rare(31)), " ".join(rare(9) + items[2] + rare(40)), "so " + ", ".join(items[3]) + " again", "only five words stand", " ".join(items[4][:18] + rare(22) + items[4][-2:])]
+    df = documents(spark, texts)
+    benchmark = spark.createDataFrame([(f"i{k}", " ".join(w)) for k, w in items.items()], "item_id string, text string")
+    index = decontaminate.build(df, benchmark)
+    hits = lambda i, **o: {(r["doc_id"], r["item_id"]) for r in decontaminate.search(df, i, **o).where("doc_id >= 300").collect()}
+    assert hits(index) == {(300, "i1"), (301, "i2"), (302, "i3")}
+    sliced = decontaminate.build(df, benchmark, slice_words=20)
+    assert len(index) == 1 and len(sliced) > 2 and hits(sliced) == hits(index)
+    assert hits(index, likely=0.3) >= hits(index)
+    assert decontaminate.keep_uncontaminated(df, sliced).count() == decontaminate.keep_uncontaminated(df, index).count()
+    answered = spark.createDataFrame([(3, " ".join(items[3]), "forty two")], "item_id long, text string, answer string")
+    assert decontaminate.search(df, decontaminate.build(df, answered)).count() == 0
+
+
 # ---------------------------------------------------------------- licenses
 
 def test_licenses(spark, awkward):
