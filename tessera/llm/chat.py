@@ -8,7 +8,8 @@ stays.
 
 Defined results: turns are ordered by (turn, role, text), nulls first; exact repeats of a row count
 once; a null role or text is a value of its own and renders as empty; rows with a null conv_id are one
-conversation with a null id; an empty table gives no rows.
+conversation with a null id; of equal conversations the smallest id stays and n_equal counts them; turns are hashed and
+rendered whole, however long; further columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,8 +10,14 @@ any JPEG decoder returns b. The DC Huffman table gives category s a code of 9 -
 further bits every difference takes 9 bits, and with the one-bit end of block 10, so whole runs of
 frames are packed and unpacked by array operations.
 
-Defined results: a null or empty text is a payload of 192 spaces; every row gives one row; equal
-texts give equal values; rows whose media is null or no AVI give no clip rows.
+Read are baseline frames with or without Huffman tables of their own (else the standard ones hold), empty frames (the
+frame before is shown again), `rec ` lists, films without an index and those of several RIFF segments (AVIX).
+A last frame that is filled with padding for more than half is no evidence of a cut.
+
+Defined results: a null or empty text is a payload of 192 spaces; every row gives one row, repeated rows each; equal
+texts give equal values; texts are stored whole, however long, as one film; a doc_id may have any type; other columns are not
+read; media that is null gives no clip rows, and media that can't be read one row with the reason in `error`;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +44,31 @@ WINDOW, DEVIATIONS, FLOOR = 8, 3.0, 0.3
 ZIGZAG = np.array(sorted(range(64), key=lambda p: (p // 8 + p % 8, p % 8 if (p // 8 + p % 8) % 2 == 0 else p // 8)))
 
 
+#: Fixed values of ITU-T T.81, annex K: symbols per code length, and the first symbols; the others follow in order.
+STANDARD = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), bytes(range(12))),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), bytes(range(12))),
+    0x10: ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")),
+    0x11: ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1")),
+}
+
+
+def _codes(counts: tuple | bytes, symbols: bytes) -> dict[tuple[int, int], int]:
+    """(length, code) -> symbol of a Huffman table."""
+    code, k, out = 0, 0, {}
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            out[length, code] = symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def standard_tables() -> dict[int, dict[tuple[int, int], int]]:
+    every = sorted({0x00, 0xF0} | {r << 4 | s for r in range(16) for s in range(1, 11)})
+    return {name: _codes(counts, first if name < 0x10 else first + bytes(x for x in every if x not in first)) for name, (counts, first) in STANDARD.items()}
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -130,31 +161,41 @@ def parse_avi(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     """(microseconds a frame, start and size of each video frame), by idx1, or by walking movi where it is missing."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI")
-    micros, movi, index, at = 1_000_000 // RATE, None, None, 12
+    micros, lists, index, at = 1_000_000 // RATE, [], None, 12
     while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
+        name, size, kind = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0], data[at + 8 : at + 12]
+        if name == b"RIFF" and kind == b"AVIX":
+            at += 12
+            continue
+        if name == b"LIST" and kind == b"hdrl":
             if data[at + 12 : at + 16] == b"avih":
                 micros = struct.unpack_from("<I", data, at + 20)[0] or micros
-        elif name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, min(at + 8 + size, len(data)))
-        elif name == b"idx1":
+        elif name == b"LIST" and kind == b"movi":
+            lists.append((at + 8, min(at + 8 + size, len(data))))
+        elif name == b"idx1" and index is None:
             index = np.frombuffer(data, [("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")], min(size, len(data) - at - 8) // 16, at + 8)
         at += 8 + size + size % 2
-    if movi is None:
+    if not lists:
         raise ValueError("no movi list")
+    frames = []
     if index is not None and len(index):
+        # an index covers the first segment
         index = index[np.isin(index["id"], [b"00dc", b"00db"])]
-        base = movi[0] if len(index) and data[movi[0] + int(index["at"][0]) :][:2] == b"00" else 0
-        return micros, base + index["at"].astype(np.int64) + 8, index["size"].astype(np.int64)
-    found, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        size = struct.unpack_from("<I", data, at + 4)[0]
-        if data[at : at + 4] in (b"00dc", b"00db"):
-            found.append((at + 8, size))
-        at += 8 + size + size % 2
-    starts = np.array(found, np.int64).reshape(-1, 2)
-    return micros, starts[:, 0], starts[:, 1]
+        base = lists[0][0] if len(index) and data[lists[0][0] + int(index["at"][0]) :][:2] == b"00" else 0
+        frames.append(np.stack([base + index["at"].astype(np.int64) + 8, index["size"].astype(np.int64)], 1))
+    for start, end in lists[len(frames) :]:
+        found, at = [], start + 4
+        while at + 8 <= end:
+            size = struct.unpack_from("<I", data, at + 4)[0]
+            if data[at : at + 4] == b"LIST" and data[at + 8 : at + 12] == b"rec ":
+                at += 12
+                continue
+            if data[at : at + 4] in (b"00dc", b"00db"):
+                found.append((at + 8, size))
+            at += 8 + size + size % 2
+        frames.append(np.array(found, np.int64).reshape(-1, 2))
+    every = np.concatenate(frames)
+    return micros, every[:, 0], every[:, 1]
 
 
 def _unpack(flat: np.ndarray, n: int) -> np.ndarray:
@@ -189,7 +230,7 @@ _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u ==
 
 def decode_jpeg(data: bytes) -> np.ndarray:
     """The luma plane (height, width) of a baseline JPEG with one interleaved scan."""
-    quant, tables, parts, restart, at = {}, {}, [], 0, 2
+    quant, tables, parts, restart, at = {}, standard_tables(), [], 0, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     while True:
@@ -202,14 +243,9 @@ def decode_jpeg(data: bytes) -> np.ndarray:
                 body = body[1 + 64 * (1 + wide) :]
         elif marker == 0xC4:
             while body:
-                counts, code, k, table = body[1:17], 0, 17, {}
-                for length, n in enumerate(counts, 1):
-                    for _ in range(n):
-                        table[length, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                tables[body[0]] = table
-                body = body[k:]
+                own = sum(body[1:17])
+                tables[body[0]] = _codes(body[1:17], body[17 : 17 + own])
+                body = body[17 + own :]
         elif marker in (0xC0, 0xC1):
             height, width = struct.unpack_from(">HH", body, 1)
             parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
@@ -300,11 +336,16 @@ def histograms(levels: np.ndarray) -> np.ndarray:
     return np.bincount(keys.ravel(), minlength=n * BINS).reshape(n, BINS) / max(levels.shape[1], 1)
 
 
-def cuts(shares: np.ndarray) -> np.ndarray:
-    """First frames of the shots of one film: 0, and each frame whose difference is above the adaptive threshold."""
+def cuts(shares: np.ndarray, whole: bool = True) -> np.ndarray:
+    """First frames of the shots of one film: 0, and each frame whose difference is above the adaptive threshold.
+
+    whole: whether the last frame counts.
+    """
     if len(shares) < 2:
         return np.zeros(min(len(shares), 1), np.int64)
     d = np.abs(np.diff(shares, axis=0)).sum(1) / 2
+    if not whole:
+        d[-1] = 0
     high = np.flatnonzero(d > FLOOR)
     if not len(high):
         return np.zeros(1, np.int64)
@@ -315,42 +356,65 @@ def cuts(shares: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], high[d[high] > middle + DEVIATIONS * spread] + 1])
 
 
-def film(data: bytes) -> tuple[int, list[np.ndarray], np.ndarray]:
-    """(microseconds a frame, frames' samples, histograms) of any motion-JPEG AVI."""
+def stored_histograms(levels: np.ndarray) -> np.ndarray:
+    """Histograms of the frames of one stored text, that of the last one without the spaces at its end."""
+    shares = histograms(levels)
+    own = _content(levels)
+    if 0 < own < UNIT:
+        shares[-1] = np.bincount(levels[-1, :own] >> 4, minlength=BINS) / own
+    return shares
+
+
+def _content(levels: np.ndarray) -> int:
+    """Units of the last frame up to the last that is no space."""
+    return int(np.flatnonzero(np.append(True, levels[-1] != 32))[-1]) if len(levels) else 0
+
+
+def film(data: bytes) -> tuple[int, list[np.ndarray], np.ndarray, bool]:
+    """(microseconds a frame, frames' samples, histograms, whether the last frame counts for cuts) of any motion-JPEG AVI."""
     micros, starts, sizes = parse_avi(data)
     levels = packed_levels(np.frombuffer(data, np.uint8), starts, sizes)
     if levels is not None:
-        return micros, levels, histograms(levels)
-    frames = [decode_jpeg(data[s : s + z]).ravel() for s, z in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    return micros, frames, np.concatenate([histograms(f[None]) for f in frames]) if frames else np.zeros((0, BINS))
+        return micros, levels, stored_histograms(levels), 2 * _content(levels) >= UNIT
+    frames: list[np.ndarray] = []
+    for s, z in zip(starts.tolist(), sizes.tolist(), strict=True):
+        if z:
+            frames.append(decode_jpeg(data[s : s + z]).ravel())
+        elif frames:
+            frames.append(frames[-1])
+        else:
+            raise ValueError("the first frame is empty")
+    return micros, frames, np.concatenate([histograms(f[None]) for f in frames]) if frames else np.zeros((0, BINS)), True
 
 
 def clip_rows(data: bytes) -> list[tuple[int, int, int, int, int]]:
     """(clip, start_ms, end_ms, first_frame, frames) of one AVI."""
-    micros, _, shares = film(data)
-    first = cuts(shares)
+    micros, _, shares, whole = film(data)
+    first = cuts(shares, whole)
     ends = np.append(first[1:], len(shares))
     return [(i, int(a * micros // 1000), int(b * micros // 1000), int(a), int(b - a)) for i, (a, b) in enumerate(zip(first, ends, strict=True)) if b > a]
 
 
 def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Timed clip rows (key, clip, start_ms, end_ms, first_frame, frames) of an AVI column."""
+    """Timed clip rows (key, clip, start_ms, end_ms, first_frame, frames, error) of an AVI column."""
     kind = media.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "clip", "start_ms", "end_ms", "first_frame", "frames"]
+        names = [key, "clip", "start_ms", "end_ms", "first_frame", "frames", "error"]
         for b in batches:
             rows: list[tuple] = []
             for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                try:
-                    rows += [(k, *r) for r in clip_rows(data.as_py() or b"")]
-                except (ValueError, IndexError, KeyError, struct.error):
+                if not data.is_valid:
                     continue
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                try:
+                    rows += [(k, *r, None) for r in clip_rows(data.as_py())]
+                except (ValueError, IndexError, KeyError, struct.error) as error:
+                    rows.append((k, None, None, None, None, None, f"{type(error).__name__}: {error}"))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return map_arrow(media.select(key, column), run, f"`{key}` {kind}, clip int, start_ms long, end_ms long, first_frame long, frames long")
+    return map_arrow(media.select(key, column), run, f"`{key}` {kind}, clip int, start_ms long, end_ms long, first_frame long, frames long, error string")
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -371,7 +435,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
 
     feature: "shots=<n>;cuts=<ms,...>;mean=<level>", the mean with three decimals.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("n_shots", pa.int64())])
+    schema = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("n_shots", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -387,15 +451,15 @@ def round_trip(docs: DataFrame) -> DataFrame:
                 levels = packed_levels(np.frombuffer(b"".join(media), np.uint8), np.concatenate([p[1] for p in places]), np.concatenate([p[2] for p in places]))
                 if levels is None:
                     raise ValueError("stored frames can't be read")
-                shares, frame, rows = histograms(levels), 0, []
+                frame, rows = 0, []
                 for i, (m, (micros, starts, _)) in enumerate(zip(media, places, strict=True)):
                     own = levels[frame : frame + len(starts)]
                     payload = own.tobytes()
-                    first = cuts(shares[frame : frame + len(starts)])
+                    first = cuts(stored_histograms(own), 2 * _content(own) >= UNIT)
                     feature = f"shots={len(first)};cuts={','.join(str(int(x) * micros // 1000) for x in first[1:])};mean={own.mean():.3f}"
                     rows.append((int(offsets[i + 1] - offsets[i]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(starts), len(first)))
                     frame += len(starts)
-                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at).cast(pa.int64()), *arrays], schema=schema)
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *arrays], ["doc_id", *schema.names])
 
-    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long")
+    return map_arrow(docs.selectExpr("doc_id", "cast(text as string) text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long")

@@ -329,6 +329,30 @@ def test_snapshots(spark):
     assert chat.collapse(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_random_snapshots_against_brute_force(spark, seed):
+    """Conversations that grow out of each other, equal ones, and ones that part at some turn."""
+    rng = random.Random(seed)
+    talks = [[("user", "hi")]]
+    for _ in range(120):
+        base = list(rng.choice(talks))
+        dice = rng.random()
+        if dice < 0.4:
+            base = base[: rng.randrange(1, len(base) + 1)]
+        elif dice < 0.8:
+            base += [(rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None])) for _ in range(rng.randrange(1, 4))]
+        elif dice < 0.9:
+            base[rng.randrange(len(base))] = ("user", rng.choice(["c", None]))
+        talks.append(base)
+    rows = [(c, 2 * t, role, text) for c, talk in enumerate(talks) for t, (role, text) in enumerate(talk)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows + rows[:9], "conv_id long, turn long, role string, text string")
+    shown = lambda talk: "".join(f"<|{r or ''}|>\n{t or ''}\n" for r, t in talk)
+    kept = [c for c, x in enumerate(talks) if x not in talks[:c] and not any(len(o) > len(x) and o[: len(x)] == x for o in talks)]
+    got = sorted((r["conv_id"], r["n_turns"], r["n_equal"], r["rendered"]) for r in chat.collapse(df).collect())
+    assert got == [(c, len(talks[c]), talks.count(talks[c]), shown(talks[c])) for c in kept] and len(kept) < 0.8 * len(talks)
+
+
 # ---------------------------------------------------------------- oracles and the pipeline
 
 @needs_tables
