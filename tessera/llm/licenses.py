@@ -4,16 +4,19 @@ Words are runs of ASCII letters and digits or other bytes above 127, lower-cased
 candidate for a template if it holds enough of the template's distinct words to reach the coverage (a
 bound that loses nothing). For each place where the template may lie, the words unique to both text and
 template anchor the alignment, the longest increasing subsequence of anchors stays and gaps are aligned in
-the same way; coverage is the share of the template's words that are matched.
+the same way, those without unique words by their longest common subsequence; coverage is the share of the template's words that are matched.
 
 A place is a window of the document around an occurrence of one of the template's rarest words there, as the
-word's place in the template says; it has the template's length with `slack` words on either side, so what lies
-far away doesn't count. So many words are taken, rarest first, that a copy with the coverage can't lack them all;
-all their occurrences are tried, and of overlapping copies of one template that with most matched words stays.
+word's place in the template says; it has the template's length, then `slack` words more on either side. So many words are
+taken, rarest first, that a copy with the coverage can't lack them all, and all their occurrences are tried. A
+window in which the alignment falls short, as many words are put in between (comment leaders), is tried with a quarter
+and a half of the template's length more on either side; one in which it is reached is widened in the same way as long
+as it matches more words, one in three of what it takes in at least (else they are another copy's). Of overlapping copies of one template that with most matched words stays.
 
 Defined results: null and empty texts match nothing and give a row without licenses; every document gives one
 row, repeated rows each; of overlapping matches those contained in one with more matched words are left
-out; an empty table gives no rows.
+out (ties: the template with the greater coverage, then the first); texts are scanned whole, however long; other columns are
+not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ALPHANUMERIC, map_arrow, table, text_chunks, word_hashes
-from tessera.llm.linededup import patience
+from tessera.llm.linededup import patience, subsequence
 
 COVERAGE, SLACK = 0.85, 8
 
@@ -77,7 +80,7 @@ class Scanner:
 
 def align(template: list[int], text: list[int]) -> tuple[int, int, int]:
     """(matched words, first and last matched place in the text) of the patience alignment."""
-    matched = patience(template, text)
+    matched = patience(template, text, subsequence)
     return (len(matched), matched[0][1], matched[-1][1]) if matched else (0, 0, 0)
 
 
@@ -100,27 +103,38 @@ def scan(words: list[int], counts: np.ndarray, template: list[int], coverage: fl
     hits: list[tuple[int, int, int]] = []
     whole = (0, -1)  # first and last place of the latest complete copy
 
+    wider = [0, slack, slack + len(template) // 4, slack + len(template) // 2, slack + len(template)]
+
     def attempt(a: int, z: int) -> bool:
+        """Whether the copy at words a to z (estimated) is there."""
         nonlocal whole
-        a, z = max(0, a), min(len(words), z)
-        if (a, z) in tried or inside[z] - inside[a] < least:
-            return False
-        tried.add((a, z))
-        n, first, last = align(template, words[a:z])
-        if n < least:
+        best = (0, 0, 0)
+        for k, more in enumerate(wider):
+            p, q = max(0, a - more), min(len(words), z + more)
+            if best[0] == 0 and k == len(wider) - 1 or (p, q) in tried or inside[q] - inside[p] < least:
+                continue
+            tried.add((p, q))
+            n, first, last = align(template, words[p:q])
+            if best[0] and (n <= best[0] or 3 * (n - best[0]) < last - first - (best[2] - best[1])):
+                break
+            if n >= least:
+                best = (n, p + first, p + last)
+                if n == len(template):
+                    break
+        if not best[0]:
             return False
-        hits.append((n, a + first, a + last))
-        if n == len(template) == last - first + 1:
-            whole = (a + first, a + last)
+        hits.append(best)
+        if best[0] == len(template) == best[2] - best[1] + 1:
+            whole = best[1:]
         return True
 
     for at in np.flatnonzero(np.isin(text, list(anchors))).tolist():
         if whole[0] <= at <= whole[1]:
             continue
         own = offsets[words[at]]
-        found = [attempt(at - o - slack, at - o + len(template) + slack) for o in own]
+        found = [attempt(at - o, at - o + len(template)) for o in own]
         if len(own) > 1 and not any(found):
-            attempt(at - own[-1] - slack, at - own[0] + len(template) + slack)
+            attempt(at - own[-1], at - own[0] + len(template))
     out: list[tuple[int, int, int]] = []
     for h in sorted(hits, key=lambda h: (-h[0], h[2] - h[1], h[1])):
         if all(h[2] < o[1] or o[2] < h[1] for o in out):

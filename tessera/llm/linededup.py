@@ -28,7 +28,7 @@ no rows.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +118,30 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(x: list, y: list) -> list[tuple[int, int]]:
-    """Matched places (i, j) of two sequences, in order."""
+def subsequence(x: list, y: list) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence."""
+    shared = set(x) & set(y)
+    xs, ys = [i for i, v in enumerate(x) if v in shared], [j for j, v in enumerate(y) if v in shared]
+    rows = [[0] * (len(ys) + 1)]
+    for i in xs:
+        above, row = rows[-1], [0]
+        for k, j in enumerate(ys):
+            row.append(above[k] + 1 if x[i] == y[j] else max(above[k + 1], row[k]))
+        rows.append(row)
+    out, i, j = [], len(xs), len(ys)
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
+    return out[::-1]
+
+
+def patience(x: list, y: list, rest: Callable | None = None) -> list[tuple[int, int]]:
+    """Matched places (i, j) of two sequences, in order; rest aligns gaps without unique words or lines, else they stay unmatched."""
     out, todo = [], [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
@@ -142,6 +164,7 @@ def patience(x: list, y: list) -> list[tuple[int, int]]:
         both.sort(key=lambda p: p[1])
         anchors = [both[k] for k in increasing([p[0] for p in both])]
         if not anchors:
+            out += [(a + i, c + j) for i, j in rest(x[a:b], y[c:d])] if rest else []
             continue
         for i, j in anchors:
             out.append((i, j))

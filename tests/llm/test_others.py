@@ -229,6 +229,62 @@ def test_license_copies_without_the_rarest_word(spark):
     assert [m["coverage"] == 1.0 for m in got[4]["matches"]] == [True, False, True]
 
 
+def aligned_windows(text, template, least):
+    """Copies by alignment of every window of every length from the least to twice the template's."""
+    hits = []
+    n = len(template)
+    for a in range(len(text)):
+        if text[a] not in template:
+            continue
+        for z in range(a + least, min(len(text), a + 2 * n) + 1):
+            if text[z - 1] in template and sum(w in template for w in text[a:z]) >= least:
+                m, first, last = licenses.align(template, text[a:z])
+                if m >= least:
+                    hits.append((m, a + first, a + last))
+    out = []
+    for h in sorted(set(hits), key=lambda h: (-h[0], h[2] - h[1], h[1])):
+        if all(h[2] < o[1] or o[2] < h[1] for o in out):
+            out.append(h)
+    return sorted(out, key=lambda h: h[1])
+
+
+def test_licenses_against_alignment_of_every_window():
+    """Copies with words left out, changed and put in, beside words of the template at other places."""
+    rng = random.Random(31)
+    template = [rng.randrange(18) for _ in range(30)]
+    least = math.ceil(0.85 * len(template) - 1e-9)
+    copies = 0
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            text += [rng.choice([-1, -1, -1, rng.randrange(18)]) for _ in range(rng.randrange(25))]
+            style, leader = rng.choice(["whole", "cut", "changed", "led"]), rng.randrange(3, 6)
+            gone = set(rng.sample(range(30), rng.randrange(6)))
+            for k, w in enumerate(template):
+                if style == "led" and k % leader == 0:
+                    text.append(-1)
+                if style in ("whole", "led") or k not in gone:
+                    text.append(w)
+                elif style == "changed":
+                    text.append(-1)
+        counts = np.bincount([w for w in text if w >= 0], minlength=18)
+        found = licenses.scan(text, counts, template, 0.85, licenses.SLACK)
+        expected = aligned_windows(text, template, least)
+        copies += len(expected)
+        for m, a, z in expected:
+            near = [h for h in found if h[1] <= z and a <= h[2]]
+            assert near and max(h[0] for h in near) >= m - 1, (text, expected, found)
+        assert len(found) >= len(expected)
+    assert copies > 60
+
+
+def test_licenses_with_words_put_in(spark):
+    mit = licenses.TEMPLATES["MIT-text"].split()
+    led = " ".join(w if k % 4 else f"dnl {w}" for k, w in enumerate(mit))
+    got = licenses.licenses(documents(spark, [led, f"be {'x ' * 300}" + " ".join(w for w in mit if w != "be")])).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["n_licenses"]) for r in got] == [("MIT-text", 1)] * 2 and got[0]["best_coverage"] == 1.0
+
+
 @needs_tables
 def test_licenses_of_the_tables(spark):
     """Exact notices found by search are found by alignment."""
