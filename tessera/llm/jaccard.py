@@ -20,7 +20,8 @@ sorted-array intersection.
 
 Defined results: null and empty texts, and texts of separators only, have an empty set and are linked with
 nothing (component: the own id); texts of fewer than k words have their whole sequence as one shingle;
-repeated rows are linked with each other; rows with a null id have an empty set's result, with their own n_shingles; other columns don't matter; an empty table gives no rows. Hash collisions between distinct sets or
+repeated rows are linked with each other; rows with a null id have an empty set's result, with their own n_shingles; ids are
+whole numbers; texts are read whole, however long; other columns don't matter, whatever their names; an empty table gives no rows. Hash collisions between distinct sets or
 shingles are the only source of error (about n^2 / 2^65 for n distinct ones).
 """
 
@@ -33,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, map_arrow, materialise, mix, release, shingle_hashes, table, text_chunks, word_hashes
+from tessera.llm.common import components, free_name, map_arrow, materialise, mix, release, shingle_hashes, table, text_chunks, word_hashes
+from tessera.operators import closure
 
 SKETCH_BITS, SLICES, MAP_BITS = 20, 16, 1024
 _U = np.uint64
@@ -43,6 +45,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def version_of(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def _named(docs: DataFrame) -> DataFrame:
     return _texts(docs).where("doc_id is not null")
 
@@ -73,7 +79,7 @@ def bitmap(s: np.ndarray, size: int = MAP_BITS) -> np.ndarray:
 
 def measured(docs: DataFrame, k: int) -> DataFrame:
     """Rows of kind 0: doc_id, set identity, size and bitmap of each document; of kind 1: slices of each task's sketch."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("small", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("version", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("small", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -90,12 +96,13 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
             # a long bitmap is cut to MAP_BITS by xor of its parts
             short = [np.bitwise_xor.reduce(x, axis=0) for x in small]
             cut = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (MAP_BITS // 64)), pa.array(np.concatenate(short) if short else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), cut, held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), cut, held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = np.minimum(counts, (1 << 32) - 1).astype("<u4").reshape(SLICES, -1)
-        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES, np.int32)), *none, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
-    return map_arrow(_texts(docs), run, "kind int, doc_id long, node long, n long, small array<long>, bits array<long>, slice int, counts binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), version_of(docs).alias("version"))
+    return map_arrow(rows, run, "kind int, doc_id long, version long, node long, n long, small array<long>, bits array<long>, slice int, counts binary")
 
 
 def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,10 +306,18 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
+    component_id is the smallest doc_id reachable over links of 100 * intersection >= percent * union.
+    """
+    return labelled_rows(docs, k, percent).drop("version")
+
+
+def labelled_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """similarity_classes with the hash of each row's text as version.
+
     component_id is the smallest doc_id reachable over links of 100 * intersection >= percent * union.
     """
     measures = materialise(measured(docs, k))
-    rows = measures.where("kind = 0").select("doc_id", "node", "n", "small", "bits")
+    rows = measures.where("kind = 0").select("doc_id", "version", "node", "n", "small", "bits")
     # doc_id: whose text is read again for a class
     classes = materialise(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("small").alias("small"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
     band = band_of(F.col("n"), percent)
@@ -350,23 +365,25 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     release(rest)
     late = materialise(verified(more, materialise(arrays_of(more)), percent))
     whole = components(links.union(late))
-    # smallest ids are found over classes, so that a group of exact copies is one row; its rows meet in one join, which
-    # Spark can split
-    labels = classes.join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label"))
+    # smallest ids are found over classes, so that a group of exact copies is one row; those of large components are
+    # broadcast, and rows of one class meet in one join, which Spark can split
+    labels = materialise(classes.join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label")))
     least_ids = labels.groupBy("label").agg(F.min("doc_id").alias("least"))
-    named = labels.join(least_ids, "label").select("node", "least")
+    named = closure.looked_up(labels, least_ids, "label", closure.frequent_keys(labels, "label", labels.count())[0]).select("node", "least")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows.join(named, "node", "left").select("doc_id", "version", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component that of smallest doc_id.
 
-    Rows of null id stay; of rows that repeat one id each stays only if their component's smallest id is theirs.
+    Rows of null id stay. Rows are told apart by id and text: of an id with several texts each is judged by its own
+    component; rows that repeat both stay or go together.
     """
-    found = similarity_classes(docs, k, percent)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = labelled_rows(docs, k, percent)
+    names = [free_name("id", docs.columns), free_name("version", docs.columns)]
+    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(names[0]), F.col("version").alias(names[1])).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone[names[0]]) & (version_of(docs) == gone[names[1]]), "left_anti")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,17 @@ def test_copies_of_copies_and_one_of_each(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({c for _, _, c in expected})
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    rng = random.Random(6)
+    base = words(rng, 200)
+    near, other = " ".join(edited(rng, base, 2)), " ".join(words(rng, 80))
+    rows = [(1, " ".join(base)), (5, near), (5, other), (5, near), (None, near), (7, " ".join(base))]
+    df = documents(spark, rows).withColumnsRenamed({"node": "id", "key": "version"})
+    left = jaccard.one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in left.collect())) == sorted([(0, near), (1, " ".join(base)), (5, other)])
+
+
 def test_bitmaps_bound_the_difference():
     import numpy as np
 

@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from tessera.llm import common, toxicity
 from tests.llm import test_jaccard, test_lines
+from tests.llm.test_others import brute_leaks, plain_words
 from tests.llm.test_packing import _tokenizer
 
 SF = "/root/testdata/sf0.01"
@@ -19,10 +20,6 @@ def _rows(df):
     return sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
 
 
-def _clean(text):
-    return " " + " ".join("".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.lower()).split()) + " "
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables are missing")
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -47,9 +44,10 @@ def test_stages_against_brute_force(spark):
     assert [i for i, _ in _rows(single)] == sorted(i for i, c in components.items() if i == c)
 
     before = _rows(single)
-    items = [_clean(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [(r["item_id"], plain_words(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clear = common.materialise(stages["benchmark decontamination"](spark, single, SF))
-    assert _rows(clear) == [(i, t) for i, t in before if not any(x in _clean(t or "") for x in items)]
+    held = {d for d, _ in brute_leaks(before, items)}
+    assert held and _rows(clear) == [(i, t) for i, t in before if i not in held]
 
     packed = Counter(r["doc_id"] for r in stages["best-fit packing"](spark, clear, SF).collect() for _ in range(r["length"]))
     assert packed == {i: len(_tokenizer().encode(t or "", add_special_tokens=False).ids) + 1 for i, t in _rows(clear)}
