@@ -4,7 +4,7 @@ import pytest
 
 from tessera.operators import closure, info
 from tessera.plans import queries_information as Q
-from tessera.plans.search import infer, split_gains
+from tessera.plans.search import infer, merge_gains, split_gains
 from tests import graphs as G
 
 GROUPS = {
@@ -46,6 +46,30 @@ def test_search(spark, names, alpha, start, end):
     assert not closure.clusters_are_cyclic(edges, found)
 
 
+@pytest.mark.parametrize(("seed", "alpha"), [(1, 0.0), (2, 2.0)])
+def test_search_on_random_graphs(spark, seed, alpha):
+    """Gains add up to the difference of the objective, the quotient has no cycle, and no further merge or split gains."""
+    rng = random.Random(seed)
+    ids = [f"v{i:02d}" for i in range(14)]
+    pairs = [(ids[i], ids[j]) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.15]
+    names = {n: [rng.choice("abcd") for _ in range(rng.randrange(1, 3))] for n in ids}
+    edges, tokens = G.edges(spark, pairs), G.tokens(spark, names)
+    found, gain = infer(G.nodes(spark, ids), edges, tokens, alpha)
+    clusters = {}
+    for r in found.collect():
+        clusters.setdefault(r["cluster_id"], []).append(r["node_id"])
+    start = {}
+    for r in closure.node_components(G.nodes(spark, ids), edges).collect():
+        start.setdefault(r["component_id"], []).append(r["node_id"])
+    assert sorted(n for c in clusters.values() for n in c) == ids and all(k == min(c) for k, c in clusters.items())
+    assert gain == pytest.approx(G.variation(list(start.values()), names, pairs, alpha) - G.variation(list(clusters.values()), names, pairs, alpha), abs=1e-9)
+    assert not closure.clusters_are_cyclic(edges, found)
+    objective = info.VariationOfInformation(tokens, edges, alpha)
+    parts = objective.parts(found)
+    assert split_gains(found, edges, objective, parts).where("gain > 1e-9").isEmpty()
+    assert merge_gains(found, edges, objective, parts).where("gain > 1e-9").isEmpty()
+
+
 def test_batched_split_gains_equal_differences(spark):
     rng = random.Random(3)
     ids = [f"v{i}" for i in range(8)]
