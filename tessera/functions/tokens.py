@@ -77,7 +77,7 @@ def dot_escape(text: Column | str) -> Column:
 
 def link(base: Column | str, root_length: int, path: Column | str, line: Column | str) -> Column:
     """Address of a source line: base, path below the root with forward slashes, #L and the 1-based line."""
-    below = F.replace(F.substring(_col(path), root_length + 1, 1 << 20), F.lit("\\"), F.lit("/"))
+    below = F.replace(_col(path).substr(F.lit(root_length + 1), F.length(_col(path))), F.lit("\\"), F.lit("/"))
     return F.concat(base if isinstance(base, Column) else F.lit(base), below, F.lit("#L"), (_col(line) + 1).cast("string"))
 
 

@@ -26,6 +26,38 @@ def node_kind(kind: Column, is_constant: Column) -> Column:
     return F.when(is_constant, "const").when(kind == "method", "methodReturn").when(is_variable(kind), "variable")
 
 
+def reference_symbols(uses: DataFrame, declared: DataFrame) -> DataFrame:
+    """(use_id, symbol_id): the original definition of the symbol that a use refers to, else, for a declarator or foreach, the one that it declares.
+
+    uses(use_id, kind, symbol_id, original_id): original_id is null where the symbol is no instance of a generic one;
+    declared(use_id, declared_id).
+    """
+    own = F.coalesce("original_id", "symbol_id")
+    fallback = F.when(F.col("kind").isin("declarator", "foreach"), F.col("declared_id"))
+    return uses.join(declared.select("use_id", "declared_id"), "use_id", "left").select("use_id", F.when(F.col("symbol_id").isNotNull(), own).otherwise(fallback).alias("symbol_id"))
+
+
+def variable_types(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, type): the type of a local, field, parameter or property; null for range variables and all else."""
+    return symbols.select("symbol_id", F.when(is_variable("kind"), F.col("type")).alias("type"))
+
+
+def resolved_nodes(expressions: DataFrame) -> DataFrame:
+    """(expr_id, node_kind, node): what an expression stands for, without one cast around it.
+
+    A constant that is no identifier is a literal (const); a used method its return (methodReturn), another used symbol a
+    variable; else both are null. expressions(expr_id, syntax, operand_id, constant, symbol, symbol_kind, in_source, implicit).
+    """
+    columns = [c for c in expressions.columns if c not in ("expr_id", "operand_id")]
+    inner = expressions.select(F.col("expr_id").alias("inner_id"), F.struct(*columns).alias("inner"))
+    at = F.when(F.col("syntax") == "cast", F.col("operand_id")).otherwise(F.col("expr_id"))
+    held = expressions.select("expr_id", at.alias("inner_id")).join(inner, "inner_id", "left").select("expr_id", "inner.*")
+    is_constant = F.col("constant").isNotNull() & (F.col("syntax") != "identifier")
+    is_used = F.col("symbol").isNotNull() & F.coalesce("in_source", F.lit(False)) & ~F.coalesce("implicit", F.lit(False))
+    kind = F.when(is_constant, "const").when(is_used & (F.col("symbol_kind") == "method"), "methodReturn").when(is_used, "variable")
+    return held.select("expr_id", kind.alias("node_kind"), F.when(kind == "const", F.col("constant")).when(kind.isNotNull(), F.col("symbol")).alias("node"))
+
+
 def resolve_arguments(arguments: DataFrame, parameters: DataFrame) -> DataFrame:
     """(call_id, arg_pos, arg_node, param_node): the parameter of each argument.
 
@@ -53,6 +85,28 @@ def override_pairs(overrides: DataFrame) -> DataFrame:
     return reach(up, starts).where("depth > 0").select(F.col("start").alias("method_id"), F.col("node").alias("base_id"))
 
 
+def implementations(methods: DataFrame, implements: DataFrame) -> DataFrame:
+    """(method_id, base_id): methods with the interface methods of the same signature that they implement.
+
+    Interfaces count that a type names itself or over other interfaces. methods(method_id, type_id, signature, in_source,
+    implicit); implements(type_id, interface_id). Methods and interface methods that aren't used symbols are left out.
+    """
+    up = implements.select(F.col("type_id").alias("parent_id"), F.col("interface_id").alias("child_id"))
+    starts = implements.select(F.col("type_id").alias("start"), F.col("type_id").alias("node")).distinct()
+    every = reach(up, starts).where("depth > 0").select(F.col("start").alias("type_id"), F.col("node").alias("interface_id"))
+    own = used(methods).select("method_id", "type_id", "signature")
+    base = own.select(F.col("method_id").alias("base_id"), F.col("type_id").alias("interface_id"), "signature")
+    return own.join(every, "type_id").join(base, ["interface_id", "signature"]).select("method_id", "base_id").distinct()
+
+
+def method_edges(methods: DataFrame, implements: DataFrame, overrides: DataFrame, parameters: DataFrame, returns: DataFrame) -> DataFrame:
+    """Edges of all declared methods: to what they implement and what they override, where both are used symbols."""
+    ids = used(methods).select("method_id")
+    kept = overrides.join(ids, "method_id", "left_semi").join(ids.withColumnRenamed("method_id", "base_id"), "base_id", "left_semi")
+    pairs = implementations(methods, implements).union(kept.select("method_id", "base_id")).distinct()
+    return override_edges(pairs, parameters, returns)
+
+
 def override_edges(overrides: DataFrame, parameters: DataFrame, returns: DataFrame) -> DataFrame:
     """Overriding parameter -> base parameter of the same position, and base return -> overriding return, along each direct step.
 

@@ -46,7 +46,7 @@ def descendant_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def random_subtree(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     """descendant_id of one root and its descendants; the root is that of least hash, so a seed gives one tree."""
-    root = closure.roots(nodes, edges).orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(1)
+    root = closure.roots(nodes, edges).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("node_id").cast("string"))), "node_id").limit(1)
     return closure.descendants(edges, root).select("descendant_id")
 
 

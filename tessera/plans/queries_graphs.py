@@ -126,7 +126,7 @@ def single_parent_guard(spark, sf):
     return hierarchy.several_parents(D.dag(spark, sf)[1])
 
 
-@query("random_subtree")
+@query("random_subtree", f"WITH RECURSIVE {D.TREE}, {DOWN} SELECT descendant_id FROM down WHERE node_id = (SELECT min_by(node_id, (md5('1:' || node_id), node_id)) FROM nodes WHERE node_id NOT IN (SELECT child_id FROM edges))")
 def random_subtree(spark, sf):
     return hierarchy.random_subtree(*D.tree(spark, sf), seed=1)
 
@@ -160,7 +160,9 @@ def quotient_edges(spark, sf):
     return closure.quotient(edges, nations(nodes, edges))
 
 
-@query("quotient_is_cyclic", "SELECT unnest(['tree', 'events']) AS graph, unnest([false, true]) AS cyclic")
+@query("quotient_is_cyclic", f"""WITH RECURSIVE {D.TREE}, {NATIONS}, {D.CYCLIC.replace("edges AS", "steps AS")}, q AS (SELECT DISTINCT p.cluster_id AS a, c.cluster_id AS b FROM edges JOIN members c ON c.node_id = child_id JOIN members p ON p.node_id = parent_id WHERE c.cluster_id <> p.cluster_id),
+t AS (SELECT a, b FROM q UNION SELECT t.a, q.b FROM t JOIN q ON q.a = t.b), v AS (SELECT parent_id AS a, child_id AS b FROM steps UNION SELECT v.a, s.child_id FROM v JOIN steps s ON s.parent_id = v.b)
+SELECT 'tree' AS graph, count(*) > 0 AS cyclic FROM t WHERE a = b UNION ALL SELECT 'events', count(*) > 0 FROM v WHERE a = b""")
 def quotient_is_cyclic(spark, sf):
     nodes, edges = D.tree(spark, sf)
     tree = closure.clusters_are_cyclic(edges, nations(nodes, edges))
@@ -219,18 +221,36 @@ def split_roots(spark, sf):
     return moves.split_roots(sides, graphs.entry_nodes(state, edges), edges)
 
 
-@query("coloring_violations", f"""WITH {D.TREE}, {NATIONS} SELECT 'valid' AS clustering, 'none' AS rule, 0::BIGINT AS n UNION ALL
-SELECT 'moved', 'unlisted_root', count(*) FROM members WHERE left(node_id, 1) = 's' UNION ALL SELECT 'moved', 'different_parents', 1""")
+#: A clustering that breaks every rule: some customers lack a cluster, suppliers share one, some nodes are unknown, a
+#: region is no root, and a root lies in another cluster.
+_BROKEN = """st AS (SELECT CASE WHEN left(node_id, 1) = 's' THEN 'zz' ELSE cluster_id END AS cluster_id, node_id FROM members WHERE left(node_id, 1) <> 'c' OR substr(node_id, 2)::INT % 7 <> 0 UNION ALL SELECT 'n0', 'ghost' || s_suppkey FROM supplier),
+entries AS (SELECT m.cluster_id, m.node_id FROM members m LEFT JOIN edges e ON e.child_id = m.node_id LEFT JOIN members p ON p.node_id = e.parent_id GROUP BY ALL HAVING bool_or(e.parent_id IS NULL OR p.cluster_id IS DISTINCT FROM m.cluster_id)),
+ro AS (SELECT cluster_id, node_id FROM entries WHERE node_id <> 'r0' UNION ALL SELECT 'r1', 'n2'),
+orphan AS (SELECT cluster_id, node_id FROM st WHERE node_id NOT IN (SELECT child_id FROM edges)),
+entering AS (SELECT s.cluster_id, s.node_id FROM st s JOIN edges e ON e.child_id = s.node_id LEFT JOIN st p ON p.node_id = e.parent_id AND p.cluster_id = s.cluster_id WHERE p.node_id IS NULL UNION SELECT * FROM orphan),
+climb AS (SELECT node_id, node_id AS ancestor_id FROM st UNION SELECT climb.node_id, e.parent_id FROM climb JOIN edges e ON e.child_id = climb.ancestor_id),
+above AS (SELECT s.cluster_id, s.node_id, coalesce(list(DISTINCT c.ancestor_id ORDER BY c.ancestor_id) FILTER (WHERE c.ancestor_id IN (SELECT node_id FROM ro) AND r.node_id IS NULL), []) AS roots
+  FROM st s JOIN climb c USING (node_id) LEFT JOIN ro r ON r.cluster_id = s.cluster_id AND r.node_id = c.ancestor_id GROUP BY ALL),
+found AS (SELECT 'missing' AS rule, count(*) AS n FROM nodes WHERE node_id NOT IN (SELECT node_id FROM st) UNION ALL SELECT 'unknown', count(*) FROM st WHERE node_id NOT IN (SELECT node_id FROM nodes)
+  UNION ALL SELECT 'parentless', count(*) FROM orphan WHERE node_id NOT IN (SELECT node_id FROM ro) UNION ALL SELECT 'foreign_root', count(*) FROM ro WHERE (cluster_id, node_id) NOT IN (SELECT (cluster_id, node_id) FROM st)
+  UNION ALL SELECT 'unlisted_root', count(*) FROM entering WHERE (cluster_id, node_id) NOT IN (SELECT (cluster_id, node_id) FROM ro)
+  UNION ALL SELECT 'different_parents', count(*) FROM (SELECT cluster_id FROM above GROUP BY cluster_id HAVING count(DISTINCT roots) > 1))"""
+
+
+@query("coloring_violations", f"WITH RECURSIVE {D.TREE}, {NATIONS}, {_BROKEN} SELECT 'valid' AS clustering, 'none' AS rule, 0::BIGINT AS n UNION ALL SELECT 'broken', rule, n FROM found WHERE n > 0")
 def coloring_violations(spark, sf):
-    """A valid clustering has no violations; with all suppliers moved into one cluster without roots, each rule that breaks is counted."""
+    """A valid clustering has no violations; of one that breaks every rule each rule is counted."""
     nodes, edges = D.tree(spark, sf)
     state = nations(nodes, edges)
     roots_ = materialise(graphs.entry_nodes(state, edges))
     valid = validate.violations(nodes, edges, state, roots_)
-    moved = materialise(state.select(F.when(F.substring("node_id", 1, 1) == "s", F.lit("zz")).otherwise(F.col("cluster_id")).alias("cluster_id"), "node_id"))
-    broken = validate.violations(nodes, edges, moved, roots_)
+    kept = state.where((F.substring("node_id", 1, 1) != "c") | (F.expr("cast(substring(node_id, 2) as int)") % 7 != 0))
+    moved = kept.select(F.when(F.substring("node_id", 1, 1) == "s", F.lit("zz")).otherwise(F.col("cluster_id")).alias("cluster_id"), "node_id")
+    ghosts = table(spark, sf, "supplier").select(F.lit("n0").alias("cluster_id"), F.concat(F.lit("ghost"), F.col("s_suppkey").cast("string")).alias("node_id"))
+    tops = roots_.select("cluster_id", "node_id").where("node_id <> 'r0'").union(spark.createDataFrame([("r1", "n2")], "cluster_id string, node_id string"))
+    broken = validate.violations(nodes, edges, materialise(moved.union(ghosts)), materialise(tops))
     none = spark.createDataFrame([("valid", "none")], "clustering string, rule string").crossJoin(valid.agg(F.count(F.lit(1)).alias("n")))
-    return none.union(broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).select(F.lit("moved"), "rule", "n"))
+    return none.union(broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).select(F.lit("broken"), "rule", "n"))
 
 
 @query("set_union", f"WITH {D.TREE} SELECT parent_id AS node_id FROM edges UNION SELECT child_id FROM edges")
@@ -256,7 +276,7 @@ def first_per_group(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("p_partkey"))
 
 
-@query("uniform_sample")
+@query("uniform_sample", f"WITH {D.TREE} SELECT name FROM (SELECT DISTINCT name FROM nodes) ORDER BY md5('0:' || name), name LIMIT 200")
 def uniform_sample(spark, sf):
     """At most 200 types of a consolidated run, by a seeded hash."""
     from tessera.plans.evaluate import uniform_sample as sample

@@ -11,7 +11,7 @@ from tessera.plans.derived import r6
 from tessera.plans.queries_tokens import PART_NODES, part_nodes, sub_sql
 from tessera.plans.scratch import materialise
 from tessera.plans.search import infer, merge_gains, split_gains
-from tessera.registry import query
+from tessera.registry import ORACLES, query
 from tessera.session import table
 
 PT = D.PART_TOKENS
@@ -129,6 +129,29 @@ def ancestor_prior(spark, sf):
     return info.ancestor_prior(nodes.select(F.col("type").alias("cluster_id"), "node_id"), edges, token_table(nodes)).select("cluster_id", "token", r6(F.col("weight")).alias("weight"))
 
 
+def _dirichlet(alpha: int):
+    @query(f"vi_dirichlet_{alpha}", f"""WITH RECURSIVE {D.TREE}, {TREE_TOKENS}, up AS (SELECT n.type AS cluster_id, e.parent_id AS node_id, 1 AS depth FROM nodes n JOIN edges e ON e.child_id = n.node_id
+  UNION ALL SELECT cluster_id, e.parent_id, depth + 1 FROM up JOIN edges e ON e.child_id = up.node_id),
+outside AS (SELECT cluster_id, up.node_id, min(depth) AS depth FROM up JOIN nodes n ON n.node_id = up.node_id WHERE n.type <> cluster_id GROUP BY ALL),
+above AS (SELECT cluster_id, token, sum(pow(0.9, depth)) AS w FROM outside JOIN tokens USING (node_id) GROUP BY ALL),
+prior_sizes AS (SELECT type AS cluster_id, 0.001 + coalesce(max(w), 0) AS prior_size FROM (SELECT DISTINCT type FROM nodes) LEFT JOIN (SELECT cluster_id, sum(w) AS w FROM above GROUP BY cluster_id) ON cluster_id = type GROUP BY type),
+totals AS (SELECT token, count(*) AS total FROM tokens GROUP BY token), sizes AS (SELECT count(*) AS size, count(DISTINCT node_id) AS nodes FROM tokens),
+own AS (SELECT n.type AS cluster_id, t.node_id, t.token FROM nodes n JOIN tokens t USING (node_id)), held AS (SELECT cluster_id, token, count(*) AS n FROM own GROUP BY ALL),
+whole AS (SELECT cluster_id, count(*) AS size_c, count(DISTINCT node_id) AS e FROM own GROUP BY cluster_id),
+ps AS (SELECT cluster_id, token, n, total, e, (n + {alpha} * (0.001 * total / size + coalesce(w, 0)) / prior_size) / (size_c + {alpha}) AS p FROM held JOIN whole USING (cluster_id) JOIN prior_sizes USING (cluster_id) JOIN totals USING (token) LEFT JOIN above USING (cluster_id, token), sizes),
+parts AS (SELECT cluster_id, max(e)::DOUBLE / max(nodes) * sum(-p * ln(p)) AS tgc, sum(total::DOUBLE / size * -(n::DOUBLE / total) * ln(n::DOUBLE / total)) AS cgt FROM ps, sizes GROUP BY cluster_id)
+SELECT round(sum(tgc), 6) + 0.0 AS token_given_cluster, round(sum(cgt), 6) + 0.0 AS cluster_given_token, round(sum(tgc) + sum(cgt), 6) + 0.0 AS vi FROM parts""")
+    def run(spark, sf):
+        """The tree by type, smoothed with the ancestors' tokens."""
+        nodes, edges = D.tree(spark, sf)
+        found = info.variation(nodes.select(F.col("type").alias("cluster_id"), "node_id"), token_table(nodes), edges, float(alpha))
+        return found.select(*[r6(c).alias(c) for c in found.columns])
+
+
+_dirichlet(2)
+_dirichlet(10)
+
+
 SPLITS = f"""{D.TREE}, {TREE_TOKENS}, down AS (SELECT node_id AS "pivot", node_id FROM nodes UNION ALL SELECT "pivot", e.child_id FROM down JOIN edges e ON e.parent_id = down.node_id),
 top AS (SELECT "pivot" AS root, node_id FROM down WHERE "pivot" IN (SELECT node_id FROM nodes WHERE type = 'region')), region AS (SELECT min(m.node_id) AS cluster_id, root FROM top m GROUP BY root),
 members AS (SELECT cluster_id, node_id FROM top JOIN region USING (root)), sizes0 AS (SELECT cluster_id, count(*) AS whole FROM members GROUP BY cluster_id),
@@ -163,7 +186,10 @@ def split_gain_top(spark, sf):
     return split_gains(state, edges, objective, objective.parts(state), sides).select("cluster_id", "pivot", r6(F.col("gain")).alias("gain"))
 
 
-@query("split_gains")
+_TOP_SQL = ORACLES["split_gain_top"]
+
+
+@query("split_gains", _TOP_SQL.replace("""WHERE left("pivot", 1) IN ('n')""", ""))
 def split_gains_query(spark, sf):
     """Gains of splitting a region's component at each pivot that leaves a rest, without smoothing."""
     nodes, edges, state = tree_state(spark, sf)
@@ -179,7 +205,17 @@ def infer_coloring(spark, sf):
     return assignment
 
 
-@query("merge_gains")
+#: Merges of single nodes of the tree: along edges, of children of one parent, of regions.
+_MERGES = f"""WITH {D.TREE}, {TREE_TOKENS}, members AS (SELECT node_id AS cluster_id, node_id FROM nodes), {vi_sql('members')},
+p AS (SELECT DISTINCT least(a, b) AS c1, greatest(a, b) AS c2 FROM (SELECT parent_id AS a, child_id AS b FROM edges UNION ALL SELECT x.child_id, y.child_id FROM edges x JOIN edges y USING (parent_id) WHERE x.child_id < y.child_id
+  UNION ALL SELECT x.node_id, y.node_id FROM nodes x JOIN nodes y ON x.type = 'region' AND y.type = 'region' AND x.node_id < y.node_id)),
+pair AS (SELECT c1, c2, a.tgc + a.cgt + b.tgc + b.cgt AS before, a2.e + b2.e AS e, a2.size_c + b2.size_c AS size_c FROM p JOIN parts a ON a.cluster_id = c1 JOIN parts b ON b.cluster_id = c2 JOIN whole a2 ON a2.cluster_id = c1 JOIN whole b2 ON b2.cluster_id = c2),
+ph AS (SELECT c1, c2, token, sum(n) AS n FROM (SELECT c1, c2, token, n FROM pair JOIN held ON held.cluster_id = c1 UNION ALL SELECT c1, c2, token, n FROM pair JOIN held ON held.cluster_id = c2) GROUP BY ALL)
+SELECT c1, c2, round(max(before) - (max(e)::DOUBLE / max(nodes) * sum(-(n::DOUBLE / size_c) * ln(n::DOUBLE / size_c)) + sum(total::DOUBLE / size * -(n::DOUBLE / total) * ln(n::DOUBLE / total))), 6) + 0.0 AS gain
+FROM ph JOIN pair USING (c1, c2) JOIN totals USING (token), sizes GROUP BY c1, c2"""
+
+
+@query("merge_gains", _MERGES)
 def merge_gains_query(spark, sf):
     """Gains of all merges that the parents of clusters allow, with each node of the tree as a cluster of its own."""
     nodes, edges = D.tree(spark, sf)

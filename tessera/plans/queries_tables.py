@@ -38,7 +38,7 @@ def containment_range_join(spark, sf):
     return graphs.contained(located(spark, sf), spans(spark, sf))
 
 
-@query("relations_within_type", f"WITH {SPANS}, {LINES}, e AS (SELECT c_custkey AS parent_id, c_custkey + 3 AS child_id FROM customer), i AS (SELECT node_id, type_id FROM located l JOIN spans s ON l.file = s.file AND l.line >= s.start_line AND l.end_line <= s.end_line) SELECT a.type_id, parent_id, child_id FROM e JOIN i a ON a.node_id = parent_id JOIN i b ON b.node_id = child_id AND b.type_id = a.type_id")
+@query("relations_within_type", f"WITH {SPANS}, {LINES}, e AS (SELECT c_custkey AS parent_id, c_custkey + 3 AS child_id FROM customer), i AS MATERIALIZED (SELECT node_id, type_id FROM located l JOIN spans s ON l.file = s.file AND l.line >= s.start_line AND l.end_line <= s.end_line) SELECT a.type_id, parent_id, child_id FROM e JOIN i a ON a.node_id = parent_id JOIN i b ON b.node_id = child_id AND b.type_id = a.type_id")
 def relations_within_type(spark, sf):
     edges = table(spark, sf, "customer").select(c("c_custkey").alias("parent_id"), (c("c_custkey") + 3).alias("child_id"))
     return graphs.relations_within(edges, graphs.contained(located(spark, sf), spans(spark, sf)))
@@ -133,6 +133,70 @@ def override_chain_edges(spark, sf):
     return facts.override_edges(overrides(spark, sf), params, nodes.select("method_id", F.concat("method_id", F.lit("!")).alias("return_node")))
 
 
+#: Nations are types that implement their region, and each region the one before; suppliers are methods by number.
+_IMPL = f"""impl AS (SELECT 'n' || n_nationkey AS type_id, 'r' || n_regionkey AS interface_id FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || (r_regionkey - 1) FROM region WHERE r_regionkey > 0),
+faces AS (SELECT type_id, interface_id FROM impl UNION SELECT f.type_id, i.interface_id FROM faces f JOIN impl i ON i.type_id = f.interface_id),
+methods AS (SELECT 'm' || s_suppkey AS method_id, 'n' || s_nationkey AS type_id, s_suppkey % 4 AS signature, s_acctbal > 0 AS in_source FROM supplier
+  UNION ALL SELECT 'i' || r_regionkey || '_' || k, 'r' || r_regionkey, k, r_regionkey <> 3 FROM region, (SELECT unnest([0, 1, 2]) AS k)),
+pairs AS (SELECT DISTINCT m.method_id, b.method_id AS base_id FROM methods m JOIN faces f USING (type_id) JOIN methods b ON b.type_id = f.interface_id AND b.signature = m.signature WHERE m.in_source AND b.in_source)"""
+
+
+def method_facts(spark, sf):
+    """(methods, implements)."""
+    n, r, s = (table(spark, sf, x) for x in ("nation", "region", "supplier"))
+    name = lambda prefix, key: F.concat(F.lit(prefix), c(key).cast("string"))
+    implements = n.select(name("n", "n_nationkey").alias("type_id"), name("r", "n_regionkey").alias("interface_id")).union(r.where("r_regionkey > 0").select(name("r", "r_regionkey"), F.concat(F.lit("r"), (c("r_regionkey") - 1).cast("string"))))
+    own = s.select(name("m", "s_suppkey").alias("method_id"), name("n", "s_nationkey").alias("type_id"), (c("s_suppkey") % 4).cast("int").alias("signature"), (c("s_acctbal") > 0).alias("in_source"))
+    k = r.select("r_regionkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    faces = k.select(F.concat(F.lit("i"), c("r_regionkey").cast("string"), F.lit("_"), c("k").cast("string")), name("r", "r_regionkey"), "k", c("r_regionkey") != 3)
+    return own.union(faces).withColumn("implicit", F.lit(False)), implements
+
+
+@query("interface_implementations", f"WITH RECURSIVE {_IMPL} SELECT method_id, base_id FROM pairs")
+def interface_implementations(spark, sf):
+    return facts.implementations(*method_facts(spark, sf))
+
+
+@query("method_edges", f"""WITH RECURSIVE {_IMPL}, over AS (SELECT 'm' || s_suppkey AS method_id, 'm' || (s_suppkey - 1) AS base_id FROM supplier WHERE s_suppkey % 3 = 0 AND s_acctbal > 0 AND s_suppkey - 1 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)),
+every AS (SELECT * FROM pairs UNION SELECT * FROM over) SELECT method_id || '#0' AS parent_id, base_id || '#0' AS child_id FROM every UNION ALL SELECT base_id || '!', method_id || '!' FROM every""")
+def method_edges(spark, sf):
+    """Edges of all declared methods, of one parameter each: implementations and overrides."""
+    methods, implements = method_facts(spark, sf)
+    over = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("m"), c("s_suppkey").cast("string")).alias("method_id"), F.concat(F.lit("m"), (c("s_suppkey") - 1).cast("string")).alias("base_id"))
+    params = methods.select("method_id", F.lit(0).alias("pos"), F.concat("method_id", F.lit("#0")).alias("param_node"))
+    return facts.method_edges(methods, implements, over, params, methods.select("method_id", F.concat("method_id", F.lit("!")).alias("return_node")))
+
+
+_EXPR = """x AS (SELECT p_partkey AS expr_id, CASE p_size % 5 WHEN 0 THEN 'cast' WHEN 1 THEN 'identifier' ELSE 'other' END AS syntax, CASE WHEN p_size % 5 = 0 THEN p_partkey + 1 END AS operand_id, CASE WHEN p_size % 3 = 0 THEN p_brand END AS constant,
+  CASE WHEN p_size % 7 <> 0 THEN p_name END AS symbol, CASE WHEN p_size % 4 = 0 THEN 'method' ELSE 'local' END AS symbol_kind, p_size > 10 AS in_source, p_size % 11 = 0 AS implicit FROM part)"""
+
+
+@query("node_resolution", f"""WITH {_EXPR}, h AS (SELECT x.expr_id, i.syntax, i.constant, i.symbol, i.symbol_kind, i.in_source, i.implicit FROM x LEFT JOIN x i ON i.expr_id = CASE WHEN x.syntax = 'cast' THEN x.operand_id ELSE x.expr_id END),
+k AS (SELECT *, CASE WHEN constant IS NOT NULL AND syntax <> 'identifier' THEN 'const' WHEN symbol IS NOT NULL AND in_source AND NOT implicit THEN CASE WHEN symbol_kind = 'method' THEN 'methodReturn' ELSE 'variable' END END AS node_kind FROM h)
+SELECT expr_id, node_kind, CASE WHEN node_kind = 'const' THEN constant WHEN node_kind IS NOT NULL THEN symbol END AS node FROM k""")
+def node_resolution(spark, sf):
+    syntax = F.when(c("p_size") % 5 == 0, "cast").when(c("p_size") % 5 == 1, "identifier").otherwise("other")
+    rows = table(spark, sf, "part").select(
+        c("p_partkey").alias("expr_id"), syntax.alias("syntax"), F.when(c("p_size") % 5 == 0, c("p_partkey") + 1).alias("operand_id"), F.when(c("p_size") % 3 == 0, c("p_brand")).alias("constant"),
+        F.when(c("p_size") % 7 != 0, c("p_name")).alias("symbol"), F.when(c("p_size") % 4 == 0, "method").otherwise("local").alias("symbol_kind"), (c("p_size") > 10).alias("in_source"), (c("p_size") % 11 == 0).alias("implicit"),
+    )
+    return facts.resolved_nodes(rows)
+
+
+@query("reference_symbols", """SELECT o_orderkey AS use_id, (CASE WHEN o_custkey % 3 > 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN -o_custkey ELSE o_custkey END WHEN o_orderstatus IN ('O', 'F') AND o_orderkey % 5 < 4 THEN o_orderkey + 7 END)::VARCHAR AS symbol_id FROM orders""")
+def reference_symbols(spark, sf):
+    o = table(spark, sf, "orders")
+    kind = F.when(c("o_orderstatus") == "O", "declarator").when(c("o_orderstatus") == "F", "foreach").otherwise("name")
+    uses = o.select(c("o_orderkey").alias("use_id"), kind.alias("kind"), F.when(c("o_custkey") % 3 > 0, c("o_custkey")).cast("string").alias("symbol_id"), F.when(c("o_orderkey") % 2 == 0, -c("o_custkey")).cast("string").alias("original_id"))
+    return facts.reference_symbols(uses, o.where("o_orderkey % 5 < 4").select(c("o_orderkey").alias("use_id"), (c("o_orderkey") + 7).cast("string").alias("declared_id")))
+
+
+@query("variable_types", "SELECT p_partkey AS symbol_id, CASE WHEN p_size % 6 < 4 THEN p_type END AS type FROM part")
+def variable_types(spark, sf):
+    kinds = F.array(*[F.lit(x) for x in ("local", "parameter", "field", "property", "range", "method")])
+    return facts.variable_types(table(spark, sf, "part").select(c("p_partkey").alias("symbol_id"), F.element_at(kinds, (c("p_size") % 6 + 1).cast("int")).alias("kind"), c("p_type").alias("type")))
+
+
 ASSIGN = "SELECT DISTINCT 'o' || l_orderkey AS parent_id, CASE WHEN l_linestatus = 'O' THEN 'm' ELSE 'v' END || l_partkey AS child_id FROM lineitem WHERE l_returnflag <> 'A'"
 
 
@@ -293,6 +357,25 @@ def graph_json(spark, sf):
     return rows.select("dense", "info", F.array_join("children", ",").alias("children"))
 
 
+@query("graph_document", f"""WITH {D.TREE}, ids AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS dense FROM nodes), k AS (SELECT parent_id AS node_id, string_agg(dense::VARCHAR, ',' ORDER BY dense) AS children FROM edges JOIN ids ON ids.node_id = child_id GROUP BY parent_id)
+SELECT '{{"nodes":[' || string_agg(to_json({{'Location': 'implicit', 'name': name, 'kind': 'variable', 'type': type, 'symbolKind': 'Field'}})::VARCHAR, ',' ORDER BY dense) || '],"relations":[' || string_agg(coalesce('[' || children || ']', 'null'), ',' ORDER BY dense) || ']}}' AS json FROM nodes JOIN ids USING (node_id) LEFT JOIN k USING (node_id)""")
+def graph_document(spark, sf):
+    nodes, edges = D.tree(spark, sf)
+    nothing = F.lit(None).cast("string")
+    return graphfiles.graph_document(graphfiles.graph_rows(nodes.withColumns({"symbol_kind": F.lit("Field"), "value": nothing, "location": nothing}), edges))
+
+
+@query("scope_entries", f"""WITH {SCOPES}, {POINTS} SELECT 'src/f' || p.point_id || ':' || event_type AS key, '"src/f' || p.point_id || ':' || event_type || '":' || to_json(list(DISTINCT s.name ORDER BY s.name)) AS entry
+FROM points p JOIN scopes s ON s.file = p.file AND p.pos BETWEEN s.start AND s."end" GROUP BY p.point_id, event_type""")
+def scope_entries(spark, sf):
+    """The members of the scope file: places with a name, and the names in scope there."""
+    held = scopes(spark, sf).withColumn("type", F.lit("t"))
+    key = F.concat(F.lit("src/f"), c("point_id").cast("string"), F.lit(":"), "event_type")
+    uses = points(spark, sf).select(c("point_id").alias("use_id"), "file", "pos", key.alias("symbol"), F.lit("t").alias("type"))
+    found = facts.in_scope(uses, held.select("scope_id", "file", "start", "end"), held.select("name", "type", "scope_id")).where("size(in_scope) > 0")
+    return graphfiles.scope_entries(found.select(c("symbol").alias("key"), "in_scope"))
+
+
 @query("graph_dot", f"""WITH {D.TREE}, {NATIONS}, ids AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS dense FROM members), cl AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS place FROM (SELECT DISTINCT cluster_id FROM members))
 SELECT 'digraph "extractedGraph"{{' AS line UNION ALL SELECT '}}' UNION ALL SELECT 'subgraph cluster_' || place || ' {{style=filled; color = lightgrey; node[style = filled, shape=box; color = white]; ' FROM cl UNION ALL SELECT '}} //subgraph cluster_' || place FROM cl
 UNION ALL SELECT 'n' || dense || ' [label="' || name || '"]; ' FROM ids JOIN nodes USING (node_id) UNION ALL SELECT 'n' || p.dense || '->n' || k.dense || ';' FROM edges JOIN ids p ON p.node_id = parent_id JOIN ids k ON k.node_id = child_id""")
@@ -320,18 +403,48 @@ def rewrite_plan(spark, sf):
     return rewrite.plan(nodes.withColumn("by_ref", c("line") == 7), nodes.select("node_id", (c("line") % 5).alias("cluster_id")))
 
 
+_CASTS = "xs AS (SELECT l_orderkey * 10 + l_linenumber AS expr_id, 'f' || (l_suppkey % 40) AS file, l_linenumber % 4 AS place, CASE WHEN l_returnflag <> 'A' THEN l_partkey % 9 END AS cluster_id, 'e' || l_partkey AS source FROM lineitem), cs AS (SELECT expr_id, file, CASE WHEN place < 2 THEN 'value' ELSE 'cast' END AS action, CASE WHEN place < 2 THEN source || '.val' ELSE '((string)' || source || ')' END AS text FROM xs WHERE cluster_id IS NOT NULL AND place < 3)"
+
+
+def typed_expressions(spark, sf):
+    places = F.array(*[F.lit(x) for x in ("argument", "element_access", "member_access", "operand")])
+    return table(spark, sf, "lineitem").select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).alias("expr_id"), F.concat(F.lit("f"), (c("l_suppkey") % 40).cast("string")).alias("file"), F.element_at(places, (c("l_linenumber") % 4 + 1).cast("int")).alias("place"),
+        F.when(c("l_returnflag") != "A", c("l_partkey") % 9).alias("cluster_id"), F.concat(F.lit("e"), c("l_partkey").cast("string")).alias("source"),
+    )
+
+
+@query("cast_plan", f"WITH {_CASTS} SELECT expr_id, file, action, text FROM cs")
+def cast_plan(spark, sf):
+    return rewrite.casts(typed_expressions(spark, sf), "string")
+
+
+@query("rewritten_files", f"WITH {PART_NODES}, {_CASTS}, a AS (SELECT file, count(*) AS declarations FROM part_nodes WHERE kind <> 'const' AND line <> 7 GROUP BY file), b AS (SELECT file, count(*) AS casts FROM cs GROUP BY file) SELECT file, file || '_modified.cs' AS target, coalesce(declarations, 0) AS declarations, coalesce(casts, 0) AS casts FROM a FULL JOIN b USING (file)")
+def rewritten_files(spark, sf):
+    return rewrite.rewritten_files(rewrite_plan(spark, sf), cast_plan(spark, sf))
+
+
 @query("declaration_kinds", f"WITH {PART_NODES} SELECT kind, count(*) AS n FROM part_nodes WHERE kind <> 'const' GROUP BY kind")
 def declaration_kinds(spark, sf):
     nodes = part_nodes(spark, sf)
     return rewrite.kind_histogram(rewrite.declaration_index(nodes, nodes.select("node_id", c("line").alias("cluster_id"))))
 
 
-@query("cluster_class_decl", f"""WITH RECURSIVE {D.TREE}, {NATIONS}, q AS (SELECT DISTINCT c.cluster_id, p.cluster_id AS parent FROM edges JOIN members c ON c.node_id = child_id JOIN members p ON p.node_id = parent_id WHERE c.cluster_id <> p.cluster_id)
+_DECLARATIONS = f"""WITH RECURSIVE {D.TREE}, {NATIONS}, q AS (SELECT DISTINCT c.cluster_id, p.cluster_id AS parent FROM edges JOIN members c ON c.node_id = child_id JOIN members p ON p.node_id = parent_id WHERE c.cluster_id <> p.cluster_id)
 SELECT i.cluster_id, 'public class Cluster' || i.cluster_id || chr(10) || '{{' || chr(10) || '    public Cluster' || i.cluster_id || '(string d) {{ val = d; }}' || chr(10) || '    public string val;' || chr(10)
+ || '    public static implicit operator Cluster' || i.cluster_id || '(ref Cluster' || i.cluster_id || ' d) {{ return d.Value; }}' || chr(10) || '    public static implicit operator ref Cluster' || i.cluster_id || '(Cluster' || i.cluster_id || ' d) {{ return new Cluster' || i.cluster_id || '(d.val); }}' || chr(10)
  || '    public static implicit operator string(Cluster' || i.cluster_id || ' d) {{ return d.val; }}' || chr(10) || '    public static implicit operator Cluster' || i.cluster_id || '(string d) {{ return new Cluster' || i.cluster_id || '(d); }}' || chr(10)
  || coalesce(string_agg('    public static implicit operator Cluster' || parent || '(Cluster' || i.cluster_id || ' d) {{ return new Cluster' || parent || '(d.val); }}' || chr(10), '' ORDER BY parent), '') || '}}' AS declaration
-FROM (SELECT DISTINCT cluster_id FROM members) i LEFT JOIN q USING (cluster_id) GROUP BY i.cluster_id""".replace("{{", "{").replace("}}", "}"))
+FROM (SELECT DISTINCT cluster_id FROM members) i LEFT JOIN q USING (cluster_id) GROUP BY i.cluster_id""".replace("{{", "{").replace("}}", "}")
+
+
+@query("cluster_class_decl", _DECLARATIONS)
 def cluster_class_decl(spark, sf):
     nodes, edges = D.tree(spark, sf)
     state = nations(nodes, edges)
     return rewrite.class_declarations(state, closure.quotient_ancestors(edges, state), "string")
+
+
+@query("namespace_text", f"SELECT 'namespace Inferred {{' || chr(10) || string_agg(declaration, chr(10) ORDER BY cluster_id) || chr(10) || '}};' || chr(10) AS text FROM ({_DECLARATIONS})")
+def namespace_text(spark, sf):
+    return rewrite.namespace_text(cluster_class_decl(spark, sf))

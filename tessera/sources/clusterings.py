@@ -14,7 +14,7 @@ from tessera.schema import CLUSTERING
 
 def location_key(root_length: int, path: Column, start: Column, end: Column, node: Column) -> Column:
     """The key of a node, null if any part is."""
-    return F.concat(F.substring(path, root_length + 1, 1 << 20), F.lit(":"), start, F.lit("->"), end, F.lit(":"), node)
+    return F.concat(path.substr(F.lit(root_length + 1), F.length(path)), F.lit(":"), start, F.lit("->"), end, F.lit(":"), node)
 
 
 def places(assignment: DataFrame) -> DataFrame:

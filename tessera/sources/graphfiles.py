@@ -32,6 +32,31 @@ def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return node_info(nodes).join(ids, "node_id").join(lists, "node_id", "left").select("dense", "info", "children")
 
 
+def graph_document(rows: DataFrame) -> DataFrame:
+    """One row (json): {"nodes": [...], "relations": [[child, ...] or null, ...]} of graph_rows, by dense id.
+
+    One document by format, so one task holds it: an export for tools that read nothing else; the rows are the scalable form.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("dense", "info", F.coalesce(F.to_json("children"), F.lit("null")).alias("children"))))
+    part = lambda name: F.array_join(F.transform("r", lambda x: x[name]), ",")
+    return rows.agg(ordered.alias("r")).select(F.concat(F.lit('{"nodes":['), part("info"), F.lit('],"relations":['), part("children"), F.lit("]}")).alias("json"))
+
+
+def write_graph_document(rows: DataFrame, path: str) -> None:
+    graph_document(rows).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def scope_entries(rows: DataFrame) -> DataFrame:
+    """(key, entry): the members of a JSON object, one row each. rows(key, in_scope)."""
+    return rows.select("key", F.concat(F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2), F.lit(":"), F.to_json("in_scope")).alias("entry"))
+
+
+def write_scopes(rows: DataFrame, path: str) -> None:
+    """scope_entries as one JSON object, in the order of keys, written by one task."""
+    one = scope_entries(rows).agg(F.array_sort(F.collect_list("entry")).alias("e"))
+    one.select(F.concat(F.lit("{"), F.array_join("e", ","), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_graph(rows: DataFrame, path: str) -> None:
     """graph_rows as gzipped JSON lines."""
     rows.write.mode("overwrite").option("compression", "gzip").json(path)

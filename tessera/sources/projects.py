@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.tokens import subtokens
 from tessera.schema import EDGES, NODES
 
 
 def open_facts(spark: SparkSession, path: str, kind: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a folder of extracted facts, with fixed schemas; unreadable JSON rows are dropped."""
-    reader = lambda schema: spark.read.schema(schema).option("mode", "DROPMALFORMED").format(kind)
-    return reader(NODES).load(f"{path}/nodes"), reader(EDGES).load(f"{path}/edges")
+    """(nodes, edges) of a folder of extracted facts, with fixed schemas.
+
+    Rows of JSON that can't be read are kept: their text is in the column _corrupt_record, the other columns are null.
+    """
+    if kind != "json":
+        return spark.read.schema(NODES).format(kind).load(f"{path}/nodes"), spark.read.schema(EDGES).format(kind).load(f"{path}/edges")
+    reader = lambda schema: spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    return reader(NODES).json(f"{path}/nodes"), reader(EDGES).json(f"{path}/edges")
+
+
+def _with_corrupt(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("_corrupt_record", StringType())])
 
 
 def is_test(path: Column | str) -> Column:

@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tessera.functions.tokens import subtokens, words
+from tessera.functions.tokens import link, subtokens, words
 from tessera.plans import evaluate
 from tessera.plans.scratch import materialise, release
 from tessera.sources import clusterings, graphfiles, projects
@@ -47,6 +47,29 @@ def test_facts_round_trip(spark, tmp_path):
     assert projects.with_tokens(nodes, subtokens).first()["tokens"] == ["a", "b"] and edges.count() == 1
 
 
+def test_unreadable_facts_are_kept(spark, tmp_path):
+    for name, lines in (("nodes", ['{"node_id": 1, "kind": "variable"}', "no json"]), ("edges", ['{"parent_id": 1, "child_id": 2}', '{"parent_id": "x"}'])):
+        Path(tmp_path, name).mkdir()
+        Path(tmp_path, name, "a.json").write_text("\n".join(lines))
+    nodes, edges = projects.open_facts(spark, str(tmp_path), "json")
+    assert [(r["node_id"], r["_corrupt_record"]) for r in nodes.collect()] == [(1, None), (None, "no json")]
+    assert [(r["child_id"], r["_corrupt_record"]) for r in edges.collect()] == [(2, None), (None, '{"parent_id": "x"}')]
+
+
+def test_documents_of_a_graph_and_of_scopes(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "variable", "Local", 'x"', "int", None, None), ("b", "const", None, "", "string", "v", None)], "node_id string, kind string, symbol_kind string, name string, type string, value string, location string")
+    graphfiles.write_graph_document(graphfiles.graph_rows(nodes, G.edges(spark, [("a", "b")])), f"{tmp_path}/g")
+    found = json.loads("".join(gzip.open(p, "rt").read() for p in Path(f"{tmp_path}/g").glob("*.gz")))
+    assert found["relations"] == [[1], None] and [n["kind"] for n in found["nodes"]] == ["variable", "const"] and found["nodes"][0]["name"] == 'x"'
+    graphfiles.write_scopes(spark.createDataFrame([('p"1', ["a", "b"]), ("p2", [])], "key string, in_scope array<string>"), f"{tmp_path}/s")
+    assert json.loads("".join(_texts(f"{tmp_path}/s"))) == {'p"1': ["a", "b"], "p2": []}
+
+
+def test_long_paths_are_whole(spark):
+    row = spark.createDataFrame([("r/" + "x" * (1 << 21),)], "path string").select(clusterings.location_key(2, F.col("path"), F.lit("1"), F.lit("2"), F.lit("n")).alias("k"), link("u/", 2, "path", F.lit(0)).alias("l")).first()
+    assert len(row["k"]) == (1 << 21) + len(":1->2:n") and len(row["l"]) == (1 << 21) + len("u/#L1")
+
+
 def test_scratch_is_released(spark):
     df = materialise(spark.range(3))
     path = Path(df._scratch_path.removeprefix("file:").replace("//", "/"))
