@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, release, table
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -51,7 +51,9 @@ def render(rows: DataFrame) -> DataFrame:
 def collapse(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_equal, rendered) of the maximal conversations."""
     hashed = turns(conversations)
-    kept = materialise(maximal(materialise(hashed.select("conv_id", "place", "n", "h1", "h2"))))
+    prefixes = materialise(hashed.select("conv_id", "place", "n", "h1", "h2"))
+    kept = materialise(maximal(prefixes))
+    release(prefixes)
     same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
     texts = render(hashed.alias("a").join(kept.alias("b"), same, "left_semi").select("conv_id", "place", "role", "text"))
     return texts.alias("a").join(kept.alias("b"), same).select("b.conv_id", "n_turns", "n_equal", "rendered")

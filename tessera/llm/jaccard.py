@@ -237,30 +237,28 @@ def _linkable(percent: int) -> Column:
     return _allowed(F.col("a_n"), F.col("b_n"), cut("a_bits", "b_bits"), cut("b_bits", "a_bits"), percent)
 
 
-FILTER_BITS = 23
+#: Binary logarithms of the bits of a filter: 16 bits an id, 1 MB at least and 16 MB at most.
+FILTER_BITS, MOST_FILTER_BITS = 23, 27
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size (1 MB) in which the bits of all ids are set; others' bits may be as well."""
-
-    def places(v: np.ndarray) -> np.ndarray:
-        return (mix(v.astype(np.int64).view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+def id_filter(ids: DataFrame, size: int) -> np.ndarray:
+    """A bit array of 2 ** size bits in which the bits of all ids are set; others' bits may be as well."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << size, bool)
         for b in batches:
-            bits[places(b.column(0).to_numpy())] = True
+            bits[(mix(b.column(0).to_numpy().astype(np.int64).view(_U)) >> _U(64 - size)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        total = np.zeros(1 << (size - 3), np.uint8)
         for b in batches:
             for x in b.column(0):
                 total |= np.frombuffer(x.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
 
     parts = map_arrow(map_arrow(ids.repartition(8), part, "bits binary").coalesce(1), joined, "bits binary")
-    total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    total = np.zeros(1 << (size - 3), np.uint8)
     for row in parts.collect():
         total |= np.frombuffer(row["bits"], np.uint8)
     return total
@@ -269,19 +267,26 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 def shingle_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the wanted nodes (node, doc_id): sorted hashes as bytes.
 
-    Texts are not shuffled: each task passes over its documents and takes up those whose id the filter lets through.
+    Texts are not shuffled: each task passes over its documents and takes up those whose id the filter lets through. With
+    more ids than the greatest filter tells apart, documents are joined with the ids before.
     """
-    known = id_filter(wanted.select("doc_id"))
+    wanted = materialise(wanted)
+    n = wanted.count()
+    size = min(max(FILTER_BITS, (16 * n).bit_length()), MOST_FILTER_BITS)
+    known = id_filter(wanted.select("doc_id"), size)
+    read = _named(docs)
+    if 4 * n > 1 << MOST_FILTER_BITS:
+        read = read.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            place = (mix(ids.astype(np.int64).view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+            place = (mix(ids.astype(np.int64).view(_U)) >> _U(64 - size)).astype(np.int64)
             some = b.filter(pa.array((known[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
             found = [(identity(s), s.tobytes()) for _, s in sets_of(some.column(1), k) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "shingles"])
 
-    found = map_arrow(_named(docs), run, "node long, shingles binary")
+    found = map_arrow(read, run, "node long, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -339,7 +344,9 @@ def labelled_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     met = tiled.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
     best = met.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
     stars = materialise(bounded(best.select(*ordered("node", "hub")).distinct()))
-    links = materialise(verified(stars, materialise(arrays_of(stars)), percent))
+    arrays = materialise(arrays_of(stars))
+    links = materialise(verified(stars, arrays, percent))
+    release(arrays)
     near = components(links)
 
     labelled = tiled.join(near, "node", "left").select("key", "node", "n", "at", "band", F.coalesce("component", "node").alias("component"))
@@ -363,11 +370,15 @@ def labelled_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     paired = rest.join(other, meets)
     more = materialise(bounded(paired.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()).join(stars, ["a", "b"], "left_anti"))
     release(rest)
-    late = materialise(verified(more, materialise(arrays_of(more)), percent))
+    arrays = materialise(arrays_of(more))
+    late = materialise(verified(more, arrays, percent))
+    release(arrays)
     whole = components(links.union(late))
     # smallest ids are found over classes, so that a group of exact copies is one row; those of large components are
     # broadcast, and rows of one class meet in one join, which Spark can split
     labels = materialise(classes.join(whole, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label")))
+    for held in (classes, stars, links, more, late):
+        release(held)
     least_ids = labels.groupBy("label").agg(F.min("doc_id").alias("least"))
     named = closure.looked_up(labels, least_ids, "label", closure.frequent_keys(labels, "label", labels.count())[0]).select("node", "least")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
