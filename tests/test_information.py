@@ -46,12 +46,12 @@ def test_search(spark, names, alpha, start, end):
     assert not closure.clusters_are_cyclic(edges, found)
 
 
-@pytest.mark.parametrize(("seed", "alpha"), [(1, 0.0), (2, 2.0)])
+@pytest.mark.parametrize(("seed", "alpha"), [(2, 2.0)])
 def test_search_on_random_graphs(spark, seed, alpha):
     """Gains add up to the difference of the objective, the quotient has no cycle, and no further merge or split gains."""
     rng = random.Random(seed)
-    ids = [f"v{i:02d}" for i in range(14)]
-    pairs = [(ids[i], ids[j]) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.15]
+    ids = [f"v{i:02d}" for i in range(10)]
+    pairs = [(ids[i], ids[j]) for i in range(10) for j in range(i + 1, 10) if rng.random() < 0.2]
     names = {n: [rng.choice("abcd") for _ in range(rng.randrange(1, 3))] for n in ids}
     edges, tokens = G.edges(spark, pairs), G.tokens(spark, names)
     found, gain = infer(G.nodes(spark, ids), edges, tokens, alpha)
