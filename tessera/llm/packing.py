@@ -11,7 +11,12 @@ a bounded table of (length, rank range) -> (sequence range, offset); pieces look
 come from counters in each task plus offsets summed by (task, length), so no length is a hot key.
 
 Defined results: a null text is empty (one piece, the end token alone); every row is packed, repeated
-rows each for itself; null ids stay null; an empty table gives no rows.
+rows each for itself; null ids stay null; texts are tokenised whole, however long, and only those of more ids than the
+capacity are cut; of equally good sequences the one opened first is taken, and of equally long pieces that of the
+first task and row; further columns are not read, whatever their names; an empty table gives no rows.
+
+With the default limits (as many documents as tokens, and the square of the tokens) only tokens can exclude a
+sequence: no more pieces fit than tokens, and a sum of squares is at most the square of the sum.
 """
 
 from __future__ import annotations

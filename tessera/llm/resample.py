@@ -12,8 +12,8 @@ counted, and only the offsets summed, so no task orders all rows.
 
 Noise depends on the seed, the id and the text alone: a rerun samples the same rows. Defined results: null
 and empty texts have weight 0 (and no grams); repeated rows draw the same noise and are taken or left by their order in
-the partition, k rows in all; null ids are carried and can't be targets; without a target row all weights are 0; an
-empty table gives no rows.
+the partition, k rows in all; null ids are carried and can't be targets; without a target row all weights are 0; texts
+are read whole, however long; further columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Scoring covers every whole text in one pass.
 
 Defined results: null and empty texts score as a text without features; a null id is never held out
 and has no label; repeated ids in labels count as toxic if any is; without a positive the score is 0;
-rows and other columns pass through unchanged; an empty table gives no rows.
+texts are scored whole, however long; ties in the sample go by id, ties between features by bucket; rows and other
+columns pass through unchanged, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
