@@ -20,9 +20,19 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent_id").agg(F.array_sort(F.collect_set("child_id")).alias("children"))
 
 
-def of_types(nodes: DataFrame, edges: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges whose two ends have one of the types; a parent stays even without such a child."""
-    typed = nodes.where(F.col("type").isin(types)).select("node_id")
+def of_type_sets(nodes: DataFrame, edges: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """of_types for each run of types(run, type): nodes(run, ...) and edges(run, parent_id, child_id)."""
+    typed = nodes.join(types.select("run", "type").distinct(), "type").select("run", "node_id")
+    parents = edges.join(typed.withColumnRenamed("node_id", "parent_id"), "parent_id")
+    kept = parents.join(typed.withColumnRenamed("node_id", "child_id"), ["run", "child_id"], "left_semi").select("run", "parent_id", "child_id")
+    ids = parents.select("run", F.col("parent_id").alias("node_id")).union(kept.select("run", "child_id")).distinct()
+    return nodes.join(ids, "node_id").select("run", *nodes.columns), kept
+
+
+def of_types(nodes: DataFrame, edges: DataFrame, types: DataFrame | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges whose two ends have one of the types, a list or a table types(type); a parent stays even without such a child."""
+    listed = isinstance(types, list)
+    typed = (nodes.where(F.col("type").isin(types)) if listed else nodes.join(types.select("type").distinct(), "type", "left_semi")).select("node_id")
     parents = edges.join(typed.withColumnRenamed("node_id", "parent_id"), "parent_id", "left_semi")
     kept = parents.join(typed.withColumnRenamed("node_id", "child_id"), "child_id", "left_semi").select("parent_id", "child_id")
     ids = parents.select(F.col("parent_id").alias("node_id")).union(kept.select("child_id")).distinct()

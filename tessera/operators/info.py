@@ -1,7 +1,8 @@
 """Token distributions, entropies and variation of information between clusters and tokens.
 
 tokens(node_id, pos, token); assignment(cluster_id, node_id). Natural logarithms. Both entropies are sums of
-contributions of clusters, so the gain of a change needs the clusters it touches alone.
+contributions of clusters, so the gain of a change needs the clusters it touches alone. Where tokens have a column
+run, each run is a table of its own: its totals are those of its tokens, and clusters lie within runs.
 """
 
 from __future__ import annotations
@@ -31,17 +32,27 @@ def probability(n: Column, size: Column, prior: Column | None = None, alpha: flo
     return n / size if prior is None or alpha == 0 else (n + alpha * prior) / (size + alpha)
 
 
+def run_keys(tokens: DataFrame) -> list[str]:
+    return [c for c in tokens.columns if c == "run"]
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """rows beside the one row of totals, or that of their run."""
+    return rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))
+
+
 def ancestor_prior(members: DataFrame, edges: DataFrame, tokens: DataFrame, discount: float = DISCOUNT, tolerance: float = TOLERANCE) -> DataFrame:
     """(cluster_id, token, weight): tolerance times the share of the token in all nodes, plus discount^depth for each
     occurrence in an ancestor outside the cluster. Each ancestor counts once, at its least depth."""
     up = reach(flipped(edges), members.select(F.col("cluster_id").alias("start"), F.col("node_id").alias("node"))).where("depth > 0")
-    above = up.join(tokens.select(F.col("node_id").alias("node"), "token"), "node").groupBy(F.col("start").alias("cluster_id"), "token").agg(F.sum(F.pow(F.lit(discount), "depth")).alias("weight"))
-    counts = distribution(tokens)
-    base = counts.crossJoin(counts.agg(F.sum("n").alias("size"))).select("token", (tolerance * F.col("n") / F.col("size")).alias("base"))
+    keys = run_keys(tokens)
+    above = up.join(tokens.select(F.col("node_id").alias("node"), *keys, "token"), "node").groupBy(F.col("start").alias("cluster_id"), *keys, "token").agg(F.sum(F.pow(F.lit(discount), "depth")).alias("weight"))
+    counts = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    base = with_totals(counts, counts.groupBy(*keys).agg(F.sum("n").alias("size")), keys).select(*keys, "token", (tolerance * F.col("n") / F.col("size")).alias("base"))
     clusters = members.select("cluster_id").distinct()
     # one row of base per cluster and token only where the cluster holds the token or an ancestor does
-    held = members.join(tokens.select("node_id", "token"), "node_id").select("cluster_id", "token").union(above.select("cluster_id", "token")).distinct()
-    return held.join(clusters, "cluster_id", "left_semi").join(base, "token").join(above, ["cluster_id", "token"], "left").select("cluster_id", "token", (F.col("base") + F.coalesce("weight", F.lit(0.0))).alias("weight"), F.coalesce("weight", F.lit(0.0)).alias("above"))
+    held = members.join(tokens.select("node_id", *keys, "token"), "node_id").select("cluster_id", *keys, "token").union(above.select("cluster_id", *keys, "token")).distinct()
+    return held.join(clusters, "cluster_id", "left_semi").join(base, [*keys, "token"]).join(above.drop(*keys), ["cluster_id", "token"], "left").select("cluster_id", "token", (F.col("base") + F.coalesce("weight", F.lit(0.0))).alias("weight"), F.coalesce("weight", F.lit(0.0)).alias("above"))
 
 
 def contributions(members: DataFrame, tokens: DataFrame, edges: DataFrame | None = None, alpha: float = 0.0) -> DataFrame:
@@ -49,12 +60,13 @@ def contributions(members: DataFrame, tokens: DataFrame, edges: DataFrame | None
 
     members may hold overlapping alternatives under different cluster_ids; totals are those of all tokens.
     """
-    counts = distribution(tokens).withColumnRenamed("n", "total")
-    sizes = tokens.agg(F.count(F.lit(1)).alias("size"), F.countDistinct("node_id").alias("nodes"))
-    own = members.select("cluster_id", "node_id").join(tokens.select("node_id", "token"), "node_id")
-    held = own.groupBy("cluster_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    keys = run_keys(tokens)
+    counts = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("total"))
+    sizes = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.countDistinct("node_id").alias("nodes"))
+    own = members.select("cluster_id", "node_id").join(tokens.select("node_id", *keys, "token"), "node_id")
+    held = own.groupBy("cluster_id", *keys, "token").agg(F.count(F.lit(1)).alias("n"))
     whole = own.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size_c"), F.countDistinct("node_id").alias("effective"))
-    rows = held.join(whole, "cluster_id").join(counts, "token").crossJoin(F.broadcast(sizes))
+    rows = with_totals(held.join(whole, "cluster_id").join(counts, [*keys, "token"]), sizes, keys)
     p = probability(F.col("n"), F.col("size_c"))
     if alpha > 0:
         prior = ancestor_prior(members, edges, tokens)

@@ -65,13 +65,14 @@ def grandparents(assignment: DataFrame, roots: DataFrame, edges: DataFrame) -> D
     return assignment.select("cluster_id").distinct().join(found, "cluster_id", "left").select("cluster_id", F.coalesce("parents", empty).alias("parents"), F.coalesce("outside", F.lit(False)).alias("outside"))
 
 
-def merges(assignment: DataFrame, edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def merges(assignment: DataFrame, edges: DataFrame, roots: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """(kind, c1, c2, via): 'parent', 'root' and 'sibling' merges of two clusters.
 
     parent: all parents of c1's entry nodes lie in c2. root: c1 < c2, c1 has no such parents, and c2 has none or c1 has
     no children outside. sibling: c1 > c2, both have such parents and a third cluster `via` holds all
     that lie in neither; where all lie in the two, any third cluster does and via is null.
-    Parent and sibling candidates come from equi-joins on parent clusters.
+    Parent and sibling candidates come from equi-joins on parent clusters. With runs(cluster_id, run), only clusters of one
+    run are paired, and each run counts its own clusters.
     """
     own = assignment.select("cluster_id", "node_id")
     tops = roots if roots is not None else entry_nodes(own, edges)
@@ -81,8 +82,12 @@ def merges(assignment: DataFrame, edges: DataFrame, roots: DataFrame | None = No
     child = own.select(F.col("node_id").alias("child_id"), F.col("cluster_id").alias("cc"))
     with_children = edges.join(p, "parent_id").join(child, "child_id", "left").where("cc is null or c <> cc").select(F.col("c").alias("cluster_id")).distinct().withColumn("has_children", F.lit(True))
     state = gp.join(with_children, "cluster_id", "left").select("cluster_id", (F.size("parents") + F.col("outside").cast("int") == 0).alias("top"), F.coalesce("has_children", F.lit(False)).alias("has_children"))
-    first = state.where("top").select(F.col("cluster_id").alias("c1"), "has_children")
-    root = first.join(state.select(F.col("cluster_id").alias("c2"), "top"), (F.col("c1") < F.col("c2")) & (F.col("top") | ~F.col("has_children"))).select("c1", "c2")
+    allowed = (F.col("c1") < F.col("c2")) & (F.col("top") | ~F.col("has_children"))
+    if runs is not None:
+        state, allowed = state.join(runs, "cluster_id"), (F.col("run1") == F.col("run2")) & allowed
+    key = lambda c: [] if runs is None else [F.col("run").alias(c)]
+    first = state.where("top").select(F.col("cluster_id").alias("c1"), "has_children", *key("run1"))
+    root = first.join(state.select(F.col("cluster_id").alias("c2"), "top", *key("run2")), allowed).select("c1", "c2")
 
     inner = gp.where("size(parents) between 1 and 3 and not outside")
     flat = inner.select("cluster_id", F.explode("parents").alias("p"))
@@ -91,8 +96,13 @@ def merges(assignment: DataFrame, edges: DataFrame, roots: DataFrame | None = No
     pairs = shared.union(direct).distinct()
     sets = lambda c: inner.select(F.col("cluster_id").alias(c), F.col("parents").alias(f"{c}_parents"))
     rest = F.array_except(F.array_union("c1_parents", "c2_parents"), F.array("c1", "c2"))
-    count = F.broadcast(own.agg(F.countDistinct("cluster_id").alias("clusters")))
-    sibling = pairs.join(sets("c1"), "c1").join(sets("c2"), "c2").crossJoin(count).where((F.size(rest) == 1) | (F.size(rest) == 0) & (F.col("clusters") > 2)).select("c1", "c2", F.get(rest, F.lit(0)).alias("via"))
+    both = pairs.join(sets("c1"), "c1").join(sets("c2"), "c2")
+    if runs is None:
+        counted = both.crossJoin(F.broadcast(own.agg(F.countDistinct("cluster_id").alias("clusters"))))
+    else:
+        count = own.select("cluster_id").distinct().join(runs, "cluster_id").groupBy("run").agg(F.count(F.lit(1)).alias("clusters"))
+        counted = both.join(runs.withColumnRenamed("cluster_id", "c1"), "c1").join(count, "run")
+    sibling = counted.where((F.size(rest) == 1) | (F.size(rest) == 0) & (F.col("clusters") > 2)).select("c1", "c2", F.get(rest, F.lit(0)).alias("via"))
     none = F.lit(None).cast(own.schema["cluster_id"].dataType)
     return (
         parent.select(F.lit("parent").alias("kind"), "c1", "c2", none.alias("via"))
@@ -113,6 +123,7 @@ def apply_split(assignment: DataFrame, side: DataFrame) -> DataFrame:
     return relabelled(moved, ["cluster_id", "moved"])
 
 
-def apply_merge(assignment: DataFrame, c1, c2) -> DataFrame:
-    both = assignment.select(F.when(F.col("cluster_id").isin([c1, c2]), F.lit(min(c1, c2))).otherwise(F.col("cluster_id")).alias("group"), "node_id")
-    return relabelled(both, ["group"])
+def apply_merge(assignment: DataFrame, pairs: DataFrame) -> DataFrame:
+    """assignment with the clusters of each pair (c1, c2) as one; no cluster is in two pairs."""
+    into = pairs.select(F.col("c2").alias("cluster_id"), F.col("c1").alias("into"))
+    return relabelled(assignment.join(into, "cluster_id", "left").select(F.coalesce("into", "cluster_id").alias("group"), "node_id"), ["group"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.tokens import token_table
 from tessera.operators import closure, info, metrics, moves
-from tessera.plans import derived as D
+from tessera.plans import derived as D, evaluate
 from tessera.plans.derived import r6
 from tessera.plans.queries_tokens import PART_NODES, part_nodes, sub_sql
 from tessera.plans.scratch import materialise
@@ -205,6 +205,36 @@ def infer_coloring(spark, sf):
     return assignment
 
 
+def hierarchy_runs(spark, sf):
+    """The tree with nodes typed by nation, the regions' nodes by region, and the hierarchy region -> nation of these types."""
+    nodes, edges = D.tree(spark, sf)
+    top = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node_id"), F.col("r_name").alias("name"))
+    nation = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node_id"), F.col("n_name").alias("name"))
+    types = top.union(nation)
+    of = edges.where("parent_id like 'n%'").select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("of")).union(types.select("node_id", "node_id"))
+    typed = nodes.drop("type").join(of, "node_id").join(types.select(F.col("node_id").alias("of"), F.col("name").alias("type")), "of").drop("of")
+    return typed, edges, types, edges.where("parent_id like 'r%'")
+
+
+@query("per_hierarchy")
+def per_hierarchy(spark, sf):
+    """A search and scores for each region's hierarchy of types, over all nodes of the tree, without smoothing."""
+    scores = evaluate.per_hierarchy(*hierarchy_runs(spark, sf), evaluate.Options(alpha=0.0))[1]
+    return scores.select("run", "cluster_id", "size", *[r6(F.col(c)).alias(c) for c in ("purity", "silhouette")])
+
+
+@query("per_type")
+def per_type(spark, sf):
+    """A search and scores for each supplier's lines, over relations of all customers within them, without smoothing."""
+    key = F.col("c_custkey")
+    nodes = table(spark, sf, "customer").select(key.alias("node_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.lit("variable").alias("kind"), (key % 3).alias("file"), key.alias("line"), key.alias("end_line"))
+    edges = table(spark, sf, "customer").select(key.alias("parent_id"), (key + 3).alias("child_id"))
+    line = F.col("s_suppkey") * 15
+    spans = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("type_id"), (F.col("s_suppkey") % 3).alias("file"), line.alias("start_line"), (line + 30).alias("end_line"))
+    scores = evaluate.per_type(nodes, edges, spans, evaluate.Options(alpha=0.0))[1]
+    return scores.select("run", "cluster_id", "size", *[r6(F.col(c)).alias(c) for c in ("purity", "silhouette")])
+
+
 #: Merges of single nodes of the tree: along edges, of children of one parent, of regions.
 _MERGES = f"""WITH {D.TREE}, {TREE_TOKENS}, members AS (SELECT node_id AS cluster_id, node_id FROM nodes), {vi_sql('members')},
 p AS (SELECT DISTINCT least(a, b) AS c1, greatest(a, b) AS c2 FROM (SELECT parent_id AS a, child_id AS b FROM edges UNION ALL SELECT x.child_id, y.child_id FROM edges x JOIN edges y USING (parent_id) WHERE x.child_id < y.child_id

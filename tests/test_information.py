@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from tessera.functions.tokens import words
 from tessera.operators import closure, info
+from tessera.plans import evaluate
 from tessera.plans import queries_information as Q
 from tessera.plans.search import infer, merge_gains, split_gains
 from tests import graphs as G
@@ -89,6 +91,53 @@ def test_batched_split_gains_equal_differences(spark):
             assert r["gain"] == pytest.approx(expected, abs=1e-9)
 
 
+def test_runs_side_by_side_equal_runs_alone(spark):
+    """Same ids in each run, roots that could merge across runs, runs that end after unequal numbers of steps."""
+    every_node, every_edge, alone, scores = [], [], set(), set()
+    options = evaluate.Options(alpha=0.0, tokenizer=words)
+    for run in (1, 4, 6):
+        rng = random.Random(run)
+        ids = [f"v{i}" for i in range(4 + run % 5)]
+        pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if rng.random() < 0.3] or [(ids[0], ids[1])]
+        rows = [(n, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 3))), rng.choice("xy"), "variable") for n in ids]
+        schema = "node_id string, name string, type string, kind string"
+        found, scored = evaluate.cluster_and_score(spark.createDataFrame(rows, schema), G.edges(spark, pairs), options)
+        alone |= {(run, r["cluster_id"], r["node_id"]) for r in found.collect()}
+        scores |= {(run, r["cluster_id"], r["size"], round(r["purity"], 9), repr(round(r["silhouette"], 9))) for r in scored.collect()}
+        every_node += [(run, *r) for r in rows]
+        every_edge += [(run, *p) for p in pairs]
+    nodes = spark.createDataFrame(every_node, f"run long, {schema}")
+    found, scored = evaluate.cluster_and_score_runs(nodes, spark.createDataFrame(every_edge, "run long, parent_id string, child_id string"), options)
+    assert {tuple(r) for r in found.select("run", "cluster_id", "node_id").collect()} == alone
+    assert {(r["run"], r["cluster_id"], r["size"], round(r["purity"], 9), repr(round(r["silhouette"], 9))) for r in scored.collect()} == scores
+
+
+def test_smoothed_parts_of_runs_equal_parts_alone(spark):
+    names, pairs = {"a": ["x", "y"], "b": ["x"], "c": ["y", "z"], "d": ["z"]}, [("a", "b"), ("a", "c"), ("c", "d")]
+    other = {"e": ["x"], "f": ["x", "z"], "g": ["w"]}
+    alone = {}
+    for n, p, groups in ((names, pairs, [["a", "b"], ["c", "d"]]), (other, [("e", "f")], [["e"], ["f", "g"]])):
+        state = G.assignment(spark, groups).selectExpr("cluster_id + %d cluster_id" % len(alone), "node_id")
+        alone |= {r["cluster_id"]: r["part"] for r in info.VariationOfInformation(G.tokens(spark, n), G.edges(spark, p), 2.0).parts(state).collect()}
+    tokens = G.tokens(spark, names | other).selectExpr("*", "if(node_id < 'e', 'one', 'two') run")
+    state = G.assignment(spark, [["a", "b"], ["c", "d"], ["e"], ["f", "g"]])
+    both = info.VariationOfInformation(tokens, G.edges(spark, pairs + [("e", "f")]), 2.0).parts(state).collect()
+    assert {r["cluster_id"]: r["part"] for r in both} == pytest.approx(alone, abs=1e-12)
+
+
+def test_runs_by_hierarchy_and_type(spark, small_tree):
+    found = Q.per_hierarchy(spark, small_tree).collect()
+    assert {r["run"] for r in found} == {"r0", "r1"} and sum(r["size"] for r in found) == 7
+    types = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "node_id int, name string")
+    sets = evaluate.descendant_types(types, spark.createDataFrame([(1, 2), (2, 3)], "parent_id int, child_id int"), 1)
+    assert {tuple(r) for r in sets.collect()} == {(2, "b"), (2, "c")}
+    nodes = spark.createDataFrame([(i, f"n{i}", "t", "variable", "f", i, i) for i in range(6)], "node_id long, name string, type string, kind string, file string, line long, end_line long")
+    spans = spark.createDataFrame([("p", "f", 0, 2), ("q", "f", 2, 3), ("empty", "f", 9, 9)], "type_id string, file string, start_line long, end_line long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "parent_id long, child_id long")
+    state, _ = evaluate.per_type(nodes, edges, spans, evaluate.Options(alpha=0.0, tokenizer=words))
+    assert sorted((r["run"], r["node_id"]) for r in state.collect()) == [("p", 0), ("p", 1), ("p", 2), ("q", 2), ("q", 3)]
+
+
 def test_empty_tables(spark):
     tokens = G.tokens(spark, G.ONE_TOKEN).where("false")
     found = info.variation(G.assignment(spark, [["a"]]), tokens).first()
