@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.closure import reach
+from tessera.plans.scratch import materialise
 
 
 def used(symbols: DataFrame) -> DataFrame:
@@ -134,15 +135,41 @@ def initializer_edges(initializers: DataFrame) -> DataFrame:
     return initializers.select(F.col("declared_node").alias("parent_id"), right.alias("child_id")).where("parent_id is not null and child_id is not null")
 
 
-def innermost(points: DataFrame, scopes: DataFrame, bucket: int = 1024) -> DataFrame:
+def dyadic(intervals: DataFrame) -> DataFrame:
+    """intervals(start, end, ...) with their cover (level, cell): cell c of level k holds the positions c 2^k to (c + 1) 2^k - 1.
+
+    Cells of a cover don't overlap and hold just the interval: two a level at most. A position lies in one cell of each level
+    (`cells`), so an equi-join on (level, cell) finds each interval around it once, and none besides. Positions are whole numbers.
+    """
+    bounds = intervals.where(F.col("start") <= F.col("end"))
+    # at level k what is left to cover is from cell lo to before cell hi; an odd lo, or an odd hi, ends it on that side
+    levels = "sequence(0, length(bin(cast(end as bigint) - start + 1)) - 1)"
+    lo, hi = "(shiftright(cast(start as bigint) - 1, k) + 1)", "shiftright(cast(end as bigint) + 1, k)"
+    left = f"if({lo} < {hi} and {lo} & 1 = 1, named_struct('level', k, 'cell', {lo}), null)"
+    right = f"if({lo} < {hi} and {hi} & 1 = 1, named_struct('level', k, 'cell', {hi} - 1), null)"
+    cover = F.expr(f"filter(flatten(transform({levels}, k -> array({left}, {right}))), x -> x is not null)")
+    return bounds.withColumn("_at", F.explode(cover)).select(*intervals.columns, "_at.level", "_at.cell")
+
+
+def cells(places: DataFrame, cover: DataFrame) -> DataFrame:
+    """places(pos, ...) once for each level that occurs in a cover, with its cell there."""
+    every = places.crossJoin(F.broadcast(cover.select("level").distinct()))
+    return every.withColumn("cell", F.expr("shiftright(cast(pos as bigint), level)"))
+
+
+def innermost(points: DataFrame, scopes: DataFrame) -> DataFrame:
     """(point_id, scope_id): the smallest scope of the file that holds each position.
 
-    points(point_id, file, pos); scopes(scope_id, file, start, end). Scopes are cut in buckets, so the range test runs
-    within (file, bucket); of equally small scopes the one that starts last, then the smallest id.
+    points(point_id, file, pos); scopes(scope_id, file, start, end); of equally small scopes the one that starts last, then
+    the smallest id. Each cell of the scopes' covers keeps its best scope, and each place takes the best of its cells: the work
+    is that of places and scopes times levels, however many scopes hold a place.
     """
-    cut = scopes.select("scope_id", "file", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("bucket"))
-    hits = points.select("point_id", "file", "pos", F.floor(F.col("pos") / bucket).alias("bucket")).join(cut, ["file", "bucket"]).where("pos between start and end")
-    return hits.groupBy("point_id").agg(F.min_by("scope_id", F.struct(F.col("end") - F.col("start"), -F.col("start"), "scope_id")).alias("scope_id"))
+    rank = F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("from"), "scope_id")
+    one = scopes.groupBy("file", "start", "end").agg(F.min("scope_id").alias("scope_id"))
+    best = materialise(dyadic(one).groupBy("file", "level", "cell").agg(F.min(rank).alias("best")))
+    places = points.select("file", "pos").distinct()
+    held = cells(places, best).join(best, ["file", "level", "cell"]).groupBy("file", "pos").agg(F.min("best").alias("best"))
+    return points.select("point_id", "file", "pos").join(held, ["file", "pos"]).groupBy("point_id").agg(F.min("best").alias("best")).select("point_id", "best.scope_id")
 
 
 def return_edges(returns: DataFrame, scopes: DataFrame) -> DataFrame:
