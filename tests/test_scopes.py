@@ -39,3 +39,13 @@ def test_innermost_makes_no_pairs_of_points_and_scopes(spark):
     found = facts.innermost(_points(spark, [(i, "f", 500 + i % 3) for i in range(300)]), _scopes(spark, [(i, "f", i, 1000 - i) for i in range(300)]))
     assert most_joined(found) <= 600
     assert {r["scope_id"] for r in found.collect()} == {299}
+
+
+def test_return_edges_make_no_pairs_of_returns_and_scopes(spark):
+    """300 returns meet ten levels, not 300 scopes; the innermost scope is their method, also where that has no return node."""
+    returns = spark.createDataFrame([(i, "f", 500 + i, f"e{i}") for i in range(300)], "point_id long, file string, pos long, expression_node string")
+    scopes = [(i, "f", i, 1000 - i, f"r{i}") for i in range(300)] + [(900, "f", 500, 501, None), (901, "f", 510, 512, "inner")]
+    found = facts.return_edges(returns, spark.createDataFrame(scopes, "scope_id long, file string, start long, end long, return_node string"))
+    assert most_joined(found) <= 3000
+    parent = lambda i: None if i < 2 else "inner" if 10 <= i <= 12 else f"r{min(299, 500 - i)}"
+    assert sorted(map(tuple, found.collect())) == sorted((parent(i), f"e{i}") for i in range(300) if parent(i))
