@@ -201,13 +201,26 @@ def node_key(kind: Column, file: Column, line: Column, name: Column, value_type:
     return F.when(kind == "const", F.concat_ws("\x01", F.lit("const"), part(value_type), part(value))).otherwise(F.concat_ws("\x01", kind, part(file), part(line), part(name)))
 
 
-def in_scope(uses: DataFrame, scopes: DataFrame, symbols: DataFrame, bucket: int = 1024) -> DataFrame:
+def united(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, start, end): the fewest intervals of each key that hold the positions of all its intervals; whole numbers."""
+    one = intervals.where(F.col("start") <= F.col("end")).groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    order = Window.partitionBy(*keys).orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = one.withColumn("opens", (before.isNull() | (F.col("start") > before + 1)).cast("long")).withColumn("island", F.sum("opens").over(order))
+    return opened.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def in_scope(uses: DataFrame, scopes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(use_id, symbol, in_scope): for each use the names of the symbols of its type whose scope holds it.
 
-    uses(use_id, file, pos, symbol, type); symbols(name, type, scope_id); scopes(scope_id, file, start, end).
+    uses(use_id, file, pos, symbol, type); symbols(name, type, scope_id); scopes(scope_id, file, start, end). Scopes of one
+    name are united, so a place meets each of its names once, and names are looked up once for all uses of a place.
     """
-    cut = symbols.join(scopes, "scope_id").select(F.col("name").alias("candidate"), "type", "file", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("bucket"))
-    hits = uses.withColumn("bucket", F.floor(F.col("pos") / bucket)).join(cut, ["file", "type", "bucket"]).where("pos between start and end")
-    found = hits.groupBy("use_id").agg(F.array_sort(F.collect_set("candidate")).alias("in_scope"))
+    held = symbols.join(scopes, "scope_id").select(F.col("name").alias("candidate"), "type", "file", "start", "end")
+    names = dyadic(united(held, ["file", "type", "candidate"])).groupBy("file", "type", "level", "cell").agg(F.collect_list("candidate").alias("names"))
+    names = materialise(names)
+    places = uses.select("file", "type", "pos").distinct()
+    met = cells(places, names).join(names, ["file", "type", "level", "cell"])
+    found = met.groupBy("file", "type", "pos").agg(F.array_sort(F.flatten(F.collect_list("names"))).alias("in_scope"))
     empty = F.array().cast("array<string>")
-    return uses.select("use_id", "symbol").join(found, "use_id", "left").select("use_id", "symbol", F.coalesce("in_scope", empty).alias("in_scope"))
+    return uses.select("use_id", "symbol", "file", "type", "pos").join(found, ["file", "type", "pos"], "left").select("use_id", "symbol", F.coalesce("in_scope", empty).alias("in_scope"))

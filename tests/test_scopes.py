@@ -49,3 +49,33 @@ def test_return_edges_make_no_pairs_of_returns_and_scopes(spark):
     assert most_joined(found) <= 3000
     parent = lambda i: None if i < 2 else "inner" if 10 <= i <= 12 else f"r{min(299, 500 - i)}"
     assert sorted(map(tuple, found.collect())) == sorted((parent(i), f"e{i}") for i in range(300) if parent(i))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_in_scope_matches_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    uses = [(i, rng.choice("fg"), rng.randrange(-20, 200), f"u{i}", rng.choice("st")) for i in range(200)] + [(200, "f", 5, "u", None), (201, None, 5, "u", "s"), (202, "f", None, None, "s")]
+    scopes, symbols = [], []
+    for i in range(150):
+        start = rng.randrange(-30, 200)
+        scopes.append((i, rng.choice("fg"), start, start + rng.choice([-2, 0, 1, 5, 31, 64])))
+        symbols += [(rng.choice("abcdefgh"), rng.choice("st"), i) for _ in range(rng.randrange(3))]
+    symbols += [(None, "s", 0), ("a", None, 1), ("z", "s", 999)]
+    at = {i: (f, s, e) for i, f, s, e in scopes}
+    expected = []
+    for i, file, pos, symbol, kind in uses:
+        held = {n for n, t, k in symbols if n is not None and t == kind and k in at and at[k][0] == file and pos is not None and at[k][1] <= pos <= at[k][2]}
+        expected.append((i, symbol, sorted(held)))
+    found = facts.in_scope(
+        spark.createDataFrame(uses, "use_id long, file string, pos long, symbol string, type string"), _scopes(spark, scopes), spark.createDataFrame(symbols, "name string, type string, scope_id long")
+    )
+    assert sorted((r["use_id"], r["symbol"], r["in_scope"]) for r in found.collect()) == sorted(expected, key=lambda x: x[0])
+
+
+def test_in_scope_makes_no_pairs_of_uses_and_scopes(spark):
+    """300 scopes of two names around 300 uses of three places make no 90,000 rows."""
+    uses = spark.createDataFrame([(i, "f", 500 + i % 3, "u", "t") for i in range(300)], "use_id long, file string, pos long, symbol string, type string")
+    symbols = spark.createDataFrame([("ab"[i % 2], "t", i) for i in range(300)], "name string, type string, scope_id long")
+    found = facts.in_scope(uses, _scopes(spark, [(i, "f", i, 1000 - i) for i in range(300)]), symbols)
+    assert most_joined(found) <= 300
+    assert {tuple(r["in_scope"]) for r in found.collect()} == {("a", "b")}
