@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tessera.catalogue import QUERIES
 from tessera.operators import facts
 from tests.joins import most_joined
 
@@ -79,3 +80,13 @@ def test_in_scope_makes_no_pairs_of_uses_and_scopes(spark):
     found = facts.in_scope(uses, _scopes(spark, [(i, "f", i, 1000 - i) for i in range(300)]), symbols)
     assert most_joined(found) <= 300
     assert {tuple(r["in_scope"]) for r in found.collect()} == {("a", "b")}
+
+
+def test_scope_entries_make_no_pairs_of_events_and_parts(spark, tmp_path):
+    """Of 300 parts around 300 events, entries with both names in order; the event outside has none."""
+    spark.createDataFrame([(4000 * i, "TYPE", 50, f"{'ab'[i % 2]}\"x") for i in range(300)], "p_partkey long, p_type string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    events = [(20000 * i + i % 3, 5, "click") for i in range(300)] + [(1500, 5, "view")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["scope_entries"](spark, str(tmp_path))
+    assert most_joined(found) <= 300
+    assert sorted(map(tuple, found.collect())) == sorted((f"src/f{e}:click", f'"src/f{e}:click":["a\\"x","b\\"x"]') for e, _, kind in events if kind == "click")
