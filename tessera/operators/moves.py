@@ -42,18 +42,22 @@ def split_sides(sides: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def split_roots(sides: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cluster_id, pivot, side, node_id): entry nodes of both halves. sides as split_sides gives them.
+    """(cluster_id, pivot, side, node_id): entry nodes of both halves. sides as split_on or split_sides gives them.
 
     Side 0 keeps the cluster's roots that stay; side 1 has its roots, nodes with a parent outside the side, and the pivot.
+    The side that stays is not listed: its roots are those of the cluster without the ones that go.
     """
-    rooted = sides.join(roots.select("cluster_id", "node_id").withColumn("was", F.lit(True)), ["cluster_id", "node_id"], "left")
+    one = (sides.where("side = 1") if "side" in sides.columns else sides).select("cluster_id", "pivot", "node_id")
+    own = roots.select("cluster_id", "node_id")
+    stay = one.select("cluster_id", "pivot").distinct().join(own, "cluster_id").join(one, ["cluster_id", "pivot", "node_id"], "left_anti")
     up = edges.select(F.col("child_id").alias("node_id"), "parent_id")
-    one = sides.where("side = 1")
-    held = one.select("cluster_id", "pivot", F.col("node_id").alias("parent_id"), F.lit(True).alias("held"))
-    outside = one.join(up, "node_id").join(held, ["cluster_id", "pivot", "parent_id"], "left").where("held is null").select("cluster_id", "pivot", "node_id").distinct().withColumn("out", F.lit(True))
-    both = rooted.join(outside, ["cluster_id", "pivot", "node_id"], "left")
-    keep = F.coalesce("was", F.lit(False)) | (F.col("side") == 1) & (F.coalesce("out", F.lit(False)) | (F.col("node_id") == F.col("pivot")))
-    return both.where(keep).select("cluster_id", "pivot", "side", "node_id")
+    held = one.withColumnRenamed("node_id", "parent_id")
+    outside = one.join(up, "node_id").join(held, ["cluster_id", "pivot", "parent_id"], "left_anti")
+    was = one.join(own, ["cluster_id", "node_id"], "left_semi")
+    parts = [x.select("cluster_id", "pivot", "node_id") for x in (was, outside, one.where(F.col("node_id") == F.col("pivot")))]
+    go = parts[0].union(parts[1]).union(parts[2]).distinct()
+    both = [x.select("cluster_id", "pivot", F.lit(side).alias("side"), "node_id") for side, x in ((0, stay), (1, go))]
+    return both[0].union(both[1])
 
 
 def grandparents(assignment: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:

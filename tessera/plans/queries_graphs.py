@@ -217,7 +217,7 @@ def split_roots(spark, sf):
     """Entry nodes of both halves of a nation's cluster after each supplier has left it."""
     nodes, edges = D.tree(spark, sf)
     state = nations(nodes, edges)
-    sides = materialise(moves.split_sides(moves.split_on(state, edges, nodes.where("type = 'supplier'")), state))
+    sides = materialise(moves.split_on(state, edges, nodes.where("type = 'supplier'")))
     return moves.split_roots(sides, graphs.entry_nodes(state, edges), edges)
 
 
