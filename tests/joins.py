@@ -1,12 +1,12 @@
-"""How many rows the joins of a plan give, as it runs."""
+"""How many rows the joins and shuffles of a plan give, as it runs."""
 
 from __future__ import annotations
 
 
-def most_joined(df) -> int:
-    """The greatest number of rows that a join of df makes, once df has run."""
+def most(df, operator: str, metric: str) -> int:
+    """The greatest value of a metric of df's operators of that name, once df has run."""
     df.collect()
-    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    todo, found = [df._jdf.queryExecution().executedPlan()], 0
     while todo:
         plan = todo.pop()
         name = plan.getClass().getSimpleName()
@@ -14,7 +14,15 @@ def most_joined(df) -> int:
             todo.append(plan.executedPlan())
         elif name.endswith("QueryStageExec"):
             todo.append(plan.plan())
-        if "Join" in name and plan.metrics().contains("numOutputRows"):
-            most = max(most, plan.metrics().apply("numOutputRows").value())
+        if operator in name and plan.metrics().contains(metric):
+            found = max(found, plan.metrics().apply(metric).value())
         todo += [plan.children().apply(k) for k in range(plan.children().size())]
-    return most
+    return found
+
+
+def most_joined(df) -> int:
+    return most(df, "Join", "numOutputRows")
+
+
+def most_shuffled(df) -> int:
+    return most(df, "ShuffleExchange", "shuffleRecordsWritten")
