@@ -157,28 +157,42 @@ def cells(places: DataFrame, cover: DataFrame) -> DataFrame:
     return every.withColumn("cell", F.expr("shiftright(cast(pos as bigint), level)"))
 
 
+def enclosing(points: DataFrame, scopes: DataFrame, *carried: str) -> DataFrame:
+    """(file, pos, best): for each place of points the rank of its innermost scope, with its scope_id and carried columns.
+
+    Each cell of the scopes' covers keeps its best scope, and each place takes the best of its cells: the work is that of
+    places and scopes times levels, however many scopes hold a place.
+    """
+    own = F.struct("scope_id", *carried).alias("own")
+    rank = F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("from"), *(F.col(f"own.{name}") for name in ("scope_id", *carried)))
+    one = scopes.groupBy("file", "start", "end").agg(F.min(own).alias("own"))
+    best = materialise(dyadic(one).groupBy("file", "level", "cell").agg(F.min(rank).alias("best")))
+    places = points.select("file", "pos").distinct()
+    return cells(places, best).join(best, ["file", "level", "cell"]).groupBy("file", "pos").agg(F.min("best").alias("best"))
+
+
 def innermost(points: DataFrame, scopes: DataFrame) -> DataFrame:
     """(point_id, scope_id): the smallest scope of the file that holds each position.
 
     points(point_id, file, pos); scopes(scope_id, file, start, end); of equally small scopes the one that starts last, then
-    the smallest id. Each cell of the scopes' covers keeps its best scope, and each place takes the best of its cells: the work
-    is that of places and scopes times levels, however many scopes hold a place.
+    the smallest id.
     """
-    rank = F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("from"), "scope_id")
-    one = scopes.groupBy("file", "start", "end").agg(F.min("scope_id").alias("scope_id"))
-    best = materialise(dyadic(one).groupBy("file", "level", "cell").agg(F.min(rank).alias("best")))
-    places = points.select("file", "pos").distinct()
-    held = cells(places, best).join(best, ["file", "level", "cell"]).groupBy("file", "pos").agg(F.min("best").alias("best"))
+    held = enclosing(points, scopes)
     return points.select("point_id", "file", "pos").join(held, ["file", "pos"]).groupBy("point_id").agg(F.min("best").alias("best")).select("point_id", "best.scope_id")
 
 
 def return_edges(returns: DataFrame, scopes: DataFrame) -> DataFrame:
     """Return node (or property, for an accessor) of the innermost enclosing method or lambda -> returned expression.
 
-    returns(point_id, file, pos, expression_node); scopes as for `innermost`, with return_node.
+    returns(point_id, file, pos, expression_node); scopes as for `innermost`, with return_node. The scope brings its return
+    node along, so returns move twice: to their places and to their ids. Each expression of a return gives one edge.
     """
-    held = innermost(returns, scopes)
-    return returns.join(held, "point_id").join(scopes.select("scope_id", "return_node"), "scope_id").where("return_node is not null and expression_node is not null").select(F.col("return_node").alias("parent_id"), F.col("expression_node").alias("child_id"))
+    at = returns.where("expression_node is not null").select("point_id", "file", "pos", "expression_node")
+    held = enclosing(at, scopes, "return_node")
+    best = F.min("best").over(Window.partitionBy("point_id"))
+    found = at.join(held, ["file", "pos"]).select("point_id", best.alias("best"), "expression_node")
+    edges = found.select("point_id", F.col("best.return_node").alias("parent_id"), F.col("expression_node").alias("child_id"))
+    return edges.where("point_id is not null and parent_id is not null").distinct().select("parent_id", "child_id")
 
 
 def operator_edges(binaries: DataFrame, parameters: DataFrame) -> DataFrame:

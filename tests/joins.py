@@ -26,3 +26,16 @@ def most_joined(df) -> int:
 
 def most_shuffled(df) -> int:
     return most(df, "ShuffleExchange", "shuffleRecordsWritten")
+
+
+def all_shuffled(df) -> int:
+    """The rows of all shuffles of df's plan, as it runs."""
+    df.collect()
+
+    def under(plan) -> int:
+        name = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if "ShuffleExchange" in name else 0
+        return own + sum(under(x) for x in inner)
+
+    return under(df._jdf.queryExecution().executedPlan())

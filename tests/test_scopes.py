@@ -4,7 +4,7 @@ import pytest
 
 from tessera.catalogue import QUERIES
 from tessera.operators import facts
-from tests.joins import most_joined
+from tests.joins import all_shuffled, most_joined
 
 
 def _points(spark, rows):
@@ -52,6 +52,31 @@ def test_return_edges_make_no_pairs_of_returns_and_scopes(spark):
     assert sorted(map(tuple, found.collect())) == sorted((parent(i), f"e{i}") for i in range(300) if parent(i))
 
 
+@pytest.fixture
+def shuffled_joins(spark):
+    """No join broadcasts a side that the code doesn't name."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_return_edges_move_returns_twice(spark, shuffled_joins):
+    """3,000 returns at three places: once to their places, once to their ids, and few rows besides."""
+    returns = spark.createDataFrame([(i, "f", 500 + i % 3, f"e{i}") for i in range(3000)], "point_id long, file string, pos long, expression_node string")
+    scopes = spark.createDataFrame([(1, "f", 0, 501, "a"), (2, "f", 502, 900, "b")], "scope_id long, file string, start long, end long, return_node string")
+    found = facts.return_edges(returns, scopes)
+    assert all_shuffled(found) <= 6300
+    assert sorted(map(tuple, found.collect())) == sorted(("b" if i % 3 == 2 else "a", f"e{i}") for i in range(3000))
+
+
+def test_return_edges_are_distinct(spark):
+    """A return read twice gives one edge, with two expressions two, at two places one of its innermost scope there; without expression or return node none."""
+    rows = [(1, "f", 5, "x"), (1, "f", 5, "x"), (2, "f", 5, "x"), (2, "f", 5, "y"), (3, "f", 5, "z"), (3, "g", 5, "z"), (4, "f", 5, None), (5, "h", 5, "x"), (None, "f", 5, "n")]
+    scopes = [(1, "f", 0, 9, "a"), (1, "f", 0, 9, "a"), (2, "g", 4, 6, "b"), (3, "h", 4, 6, None), (4, "h", 0, 9, "c")]
+    found = facts.return_edges(spark.createDataFrame(rows, "point_id long, file string, pos long, expression_node string"), spark.createDataFrame(scopes, "scope_id long, file string, start long, end long, return_node string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "x"), ("a", "x"), ("a", "y"), ("b", "z")]
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_in_scope_matches_a_plain_search(spark, seed):
     rng = random.Random(seed)
