@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tessera.operators.closure import reach
 from tessera.plans.scratch import materialise
 
+#: Bytes of a table that may be broadcast (Spark's own default), and of a row of few columns there.
+SMALL, ROW = 10 << 20, 64
+
 
 def used(symbols: DataFrame) -> DataFrame:
     """Symbols that are declared in source and not implicit."""
@@ -224,17 +227,42 @@ def united(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return opened.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def in_scope(uses: DataFrame, scopes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(use_id, symbol, in_scope): for each use the names of the symbols of its type whose scope holds it.
+def names_in_scope(places: DataFrame, named: DataFrame) -> DataFrame:
+    """(file, type, pos, in_scope): the sorted names of the scopes of its file and type that hold each place, where there are any.
 
-    uses(use_id, file, pos, symbol, type); symbols(name, type, scope_id); scopes(scope_id, file, start, end). Scopes of one
-    name are united, so a place meets each of its names once, and names are looked up once for all uses of a place.
+    places(file, type, pos); named(name, type, file, start, end). Scopes of one name are united, so a place meets each of
+    its names once, and names are looked up once for all that is at a place.
     """
-    held = symbols.join(scopes, "scope_id").select(F.col("name").alias("candidate"), "type", "file", "start", "end")
+    held = named.select(F.col("name").alias("candidate"), "type", "file", "start", "end").where("candidate is not null")
     names = dyadic(united(held, ["file", "type", "candidate"])).groupBy("file", "type", "level", "cell").agg(F.collect_list("candidate").alias("names"))
     names = materialise(names)
-    places = uses.select("file", "type", "pos").distinct()
-    met = cells(places, names).join(names, ["file", "type", "level", "cell"])
-    found = met.groupBy("file", "type", "pos").agg(F.array_sort(F.flatten(F.collect_list("names"))).alias("in_scope"))
+    met = cells(places.select("file", "type", "pos").distinct(), names).join(names, ["file", "type", "level", "cell"])
+    return met.groupBy("file", "type", "pos").agg(F.array_sort(F.flatten(F.collect_list("names"))).alias("in_scope"))
+
+
+def looked_up(rows: DataFrame, texts: DataFrame, keys: list[str], text: str, most: int = SMALL) -> DataFrame:
+    """rows with the text of their keys; rows without one are left out. texts(*keys, text): one row a key.
+
+    Where keys and distinct texts take about `most` bytes each, or less, both are broadcast: rows stay in their tasks, and are
+    ordered there so that equal texts stand together, as files need several times the space without. Else rows are shuffled
+    by their keys, which orders them as well.
+    """
+    texts = materialise(texts)
+    distinct = materialise(texts.select(text).distinct().withColumn("_text", F.monotonically_increasing_id()))
+    size = distinct.agg(F.coalesce(F.sum(F.octet_length(text) + ROW), F.lit(0))).first()[0]
+    if max(size, texts.count() * ROW) > most:
+        return rows.join(texts, keys)
+    ids = texts.join(F.broadcast(distinct), text).select(*keys, "_text")
+    met = rows.join(F.broadcast(ids), keys).sortWithinPartitions("_text")
+    kept = met.withColumn("_row", F.monotonically_increasing_id()).where("_row >= 0")  # else the join drops the order
+    return kept.join(F.broadcast(distinct), "_text").drop("_text", "_row")
+
+
+def in_scope(uses: DataFrame, scopes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(use_id, symbol, in_scope): for each use the names of the symbols of its type whose scope holds it.
+
+    uses(use_id, file, pos, symbol, type); symbols(name, type, scope_id); scopes(scope_id, file, start, end).
+    """
+    found = names_in_scope(uses, symbols.join(scopes, "scope_id"))
     empty = F.array().cast("array<string>")
     return uses.select("use_id", "symbol", "file", "type", "pos").join(found, ["file", "type", "pos"], "left").select("use_id", "symbol", F.coalesce("in_scope", empty).alias("in_scope"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import materialise
@@ -46,9 +46,15 @@ def write_graph_document(rows: DataFrame, path: str) -> None:
     graph_document(rows).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def scope_entry(key: Column, names: Column) -> Column:
+    """A member of a JSON object: a key, and the JSON text of the names in scope."""
+    text = F.to_json(F.array(key))
+    return F.concat(text.substr(F.lit(2), F.length(text) - 2), F.lit(":"), names)
+
+
 def scope_entries(rows: DataFrame) -> DataFrame:
     """(key, entry): the members of a JSON object, one row each. rows(key, in_scope)."""
-    return rows.select("key", F.concat(F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2), F.lit(":"), F.to_json("in_scope")).alias("entry"))
+    return rows.select("key", scope_entry(F.col("key"), F.to_json("in_scope")).alias("entry"))
 
 
 def write_scopes(rows: DataFrame, path: str) -> None:

@@ -115,3 +115,26 @@ def test_scope_entries_make_no_pairs_of_events_and_parts(spark, tmp_path):
     found = QUERIES["scope_entries"](spark, str(tmp_path))
     assert most_joined(found) <= 300
     assert sorted(map(tuple, found.collect())) == sorted((f"src/f{e}:click", f'"src/f{e}:click":["a\\"x","b\\"x"]') for e, _, kind in events if kind == "click")
+
+
+def test_scope_entries_leave_events_in_their_tasks(spark, shuffled_joins, tmp_path):
+    """3,000 events at two places: their texts come to them, and entries of one text stand together in a task."""
+    spark.createDataFrame([(0, "TYPE", 50, "a"), (4000, "TYPE", 1, "b")], "p_partkey long, p_type string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    events = [(20000 * i + i % 2 * 500, 5, "click") for i in range(3000)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["scope_entries"](spark, str(tmp_path))
+    assert all_shuffled(found) <= 100
+    rows = [(r["key"], r["entry"].split(":", 2)[2]) for r in found.collect()]
+    assert sorted(rows) == sorted((f"src/f{e}:click", '["a"]' if e % 20000 else '["a","b"]') for e, _, _ in events)
+    assert sum(a[1] != b[1] for a, b in zip(rows, rows[1:], strict=False)) <= 3
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_looked_up_shuffles_what_is_large(spark, shuffled_joins, most):
+    rows = [(i, "fg"[i % 2], i % 7) for i in range(300)] + [(300, None, 1), (301, "f", None), (302, "h", 1)]
+    texts = [(file, pos, f"t{pos % 3}") for file in "fg" for pos in range(6)]
+    found = facts.looked_up(spark.createDataFrame(rows, "id long, file string, pos long"), spark.createDataFrame(texts, "file string, pos long, text string"), ["file", "pos"], "text", most)
+    assert (all_shuffled(found) == 0) == (most > 0)
+    assert sorted((r["id"], r["text"]) for r in found.collect()) == [(i, f"t{i % 7 % 3}") for i in range(300) if i % 7 < 6]
+    none = facts.looked_up(spark.createDataFrame(rows, "id long, file string, pos long"), spark.createDataFrame([], "file string, pos long, text string"), ["file", "pos"], "text", most)
+    assert none.collect() == []
