@@ -67,3 +67,28 @@ def test_pairs_of_siblings_are_not_shuffled(spark):
     gains = search.merge_gains(state, edges, objective, objective.parts(state)).where("gain > 0.5")
     assert 0 < most_shuffled(gains) < 20_000
     assert search.merge_gains(state, edges, objective, objective.parts(state)).count() == 1200 * 1199 // 2 + 1200
+
+
+@pytest.mark.parametrize("few", [0, 256])
+@pytest.mark.parametrize("wide", [64, 2])
+def test_gains_of_few_clusters_are_those_of_many(spark, monkeypatch, few, wide):
+    """Listed and joined, and met in tiles."""
+    monkeypatch.setattr(search, "FEW", few)
+    monkeypatch.setattr(search, "WIDE", wide)
+    rows, _, names, state, edges, tokens = _random(spark, 1)
+    groups = {c: [n for k, n in rows if k == c] for c, _ in rows}
+    start = G.variation(list(groups.values()), names)
+    found = search.merge_gains(state, edges, info.VariationOfInformation(tokens, edges, 0.0), None).collect()
+    assert {tuple(sorted((r["c1"], r["c2"]))) for r in found} == {tuple(sorted((r["c1"], r["c2"]))) for r in moves.merges(state, edges).collect()}
+    for r in found:
+        after = [g for c, g in groups.items() if c not in (r["c1"], r["c2"])] + [groups[r["c1"]] + groups[r["c2"]]]
+        assert r["gain"] == pytest.approx(start - G.variation(after, names), abs=1e-9)
+
+
+def test_one_cluster_has_no_merges(spark, monkeypatch):
+    """No pairs are looked for."""
+    monkeypatch.setattr(moves, "candidates", None)
+    state = spark.createDataFrame([("a", "a"), ("a", "b")], "cluster_id string, node_id string")
+    tokens = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], "node_id string, pos int, token string")
+    edges = G.edges(spark, [("a", "b")])
+    assert search.merge_gains(state, edges, info.VariationOfInformation(tokens, edges, 0.0), None).isEmpty()
