@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import closure
 from tessera.plans.scratch import materialise, release  # noqa: F401
-from tessera.session import table  # noqa: F401
+from tessera.session import ship, table  # noqa: F401
 
 #: Bytes of text that one numpy step handles; bounds a worker's memory whatever the batch holds.
 CHUNK = 1 << 19
@@ -161,20 +158,6 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     return mix(out), to
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors' Python, once a context: they need not start where it lies."""
-    context = spark.sparkContext
-    if getattr(context, "_tessera_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    packed = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_package.zip"
-    with zipfile.ZipFile(packed, "w") as out:
-        for f in sorted(root.rglob("*.py")):
-            out.write(f, f.relative_to(root.parent))
-    context.addPyFile(str(packed))
-    context._tessera_shipped = True
-
-
 def trim() -> None:
     """Give freed memory back to the system: workers live on and share an executor's memory."""
     pa.default_memory_pool().release_unused()
